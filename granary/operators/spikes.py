@@ -6,6 +6,10 @@ when the series returns within ``max_spike`` readings the withheld ones are spik
 moved for good and the filter restarts there.  Readings whose innovations vanish (a run of equal values in a
 series that normally changes) are stuck, readings outside the limits of their metric are impossible.
 
+A series normally changes if, counted over all its blocks outside the runs of ``min_run`` or more, at most
+``max_equal_share`` of its steps are equal, and it changes there at least ``min_run`` times and more often than it has
+such runs: a series that is nothing but long runs gives no sign that it should change.
+
 Scale: a series is cut into blocks of about ``block_rows`` readings with overlap on both sides, so that no
 task holds a whole unbounded series; counts per (series, hour) are the only thing aggregated beforehand.
 """
@@ -31,7 +35,7 @@ METRIC_LIMITS: dict[str, tuple[float, float]] = {
 #: Metrics whose values seldom change by nature; their constant stretches are never stuck.
 SELDOM_CHANGING: frozenset[str] = frozenset({"bundle_size_kb"})
 
-OUT_SCHEMA = "metric_id bigint, source string, metric_name string, metric_value double, reason string, score double"
+BLOCK_SCHEMA = "metric_id bigint, source string, metric_name string, metric_value double, bad boolean, stuck boolean, score double, equal bigint, steps bigint, changes bigint, runs bigint"
 
 
 def _spread(x: np.ndarray) -> float:
@@ -94,69 +98,66 @@ def _one_way(values: list[float], q: float, r: float, drift: float, threshold: f
     return score
 
 
-def kalman_spikes(x: np.ndarray, threshold: float, max_spike: int) -> np.ndarray:
+def kalman_spikes(x: np.ndarray, threshold: float, max_spike: int, moving: np.ndarray | None = None) -> np.ndarray:
     """Score of every spike reading, 0 elsewhere; ``x`` holds finite readings in order.
 
+    ``moving`` is False for readings that tell nothing of noise and drift, such as the repeats of a long run.
+
     The filter runs forwards and backwards and a spike is one for both, so the start of a trend or of a new level,
     which only one direction finds surprising, is none.
     """
-    q, r = noise_model(x)
     if len(x) < 8:
         return np.zeros(len(x))
+    usual = x if moving is None or moving.sum() < 8 else x[moving]
+    q, r = noise_model(usual)
     if q + r <= 0.0:  # a series that hardly ever moves has no scatter: any short excursion stands out
         r = max(1e-9, (1e-6 * float(np.median(np.abs(x)))) ** 2)
     values = x.tolist()
-    drift = float(np.median(np.diff(x)))
+    drift = float(np.median(np.diff(usual)))
     ahead = _one_way(values, q, r, drift, threshold, max_spike)
     if not ahead.any():
         return ahead
     return np.minimum(ahead, _one_way(values[::-1], q, r, -drift, threshold, max_spike)[::-1])
 
 
-def stuck_runs(x: np.ndarray, min_run: int, max_equal_share: float) -> np.ndarray:
-    """True for readings of runs of ``min_run`` or more equal values in a series that normally changes."""
-    n = len(x)
-    out = np.zeros(n, bool)
-    if n < min_run:
-        return out
-    change = np.flatnonzero(np.diff(x) != 0) + 1
-    starts = np.concatenate([[0], change])
-    lengths = np.diff(np.concatenate([starts, [n]]))
-    long = lengths >= min_run
-    if not long.any():
-        return out
-    # steps outside the long runs tell what is normal for the series
-    steps = lengths[~long]
-    equal, total = int((steps - 1).sum()), int(steps.sum()) + int(long.sum())
-    if equal > max_equal_share * max(total, 1) or 2 * int(steps.sum()) < n or 10 * int(long.sum()) > len(lengths):
-        return out
-    for s, m in zip(starts[long].tolist(), lengths[long].tolist(), strict=True):
-        out[s : s + m] = True
-    return out
-
-
-def score_series(pdf: pd.DataFrame, limits: dict[str, tuple[float, float]], threshold: float, max_spike: int, min_run: int, max_equal_share: float) -> pd.DataFrame:
-    """Flags of one block of one series (columns metric_id, source, metric_name, ts, metric_value, own)."""
+def long_runs(x: np.ndarray, min_run: int) -> tuple[np.ndarray, np.ndarray]:
+    """(reading is in a run of ``min_run`` or more equal values, reading begins a run)."""
+    starts = np.concatenate([[True], np.diff(x) != 0])[: len(x)]
+    at = np.flatnonzero(starts)
+    lengths = np.diff(np.concatenate([at, [len(x)]]))
+    return np.repeat(lengths >= min_run, lengths), starts
+
+
+def score_series(pdf: pd.DataFrame, limits: dict[str, tuple[float, float]], threshold: float, max_spike: int, min_run: int) -> pd.DataFrame:
+    """Candidates of one block of one series (columns metric_id, source, metric_name, ts, metric_value, own).
+
+    One row more, without metric_id, counts the block's own steps: ``equal`` and ``steps`` outside the long runs,
+    ``changes`` (short runs) and ``runs`` (long ones that begin here).
+    """
     pdf = pdf.sort_values(["ts", "metric_id"], kind="stable").drop_duplicates("metric_id")
     x = pdf["metric_value"].to_numpy(float)
-    low, high = limits.get(pdf["metric_name"].iloc[0], (0.0, float("inf")))
+    own = pdf["own"].to_numpy(bool)
+    name = pdf["metric_name"].iloc[0]
+    low, high = limits.get(name, (0.0, float("inf")))
     bad = ~np.isfinite(x) | (x < low) | (x > high)
-    reason = np.where(bad, "limit", "").astype(object)
-    score = np.where(bad, np.inf, 0.0)
     # the filter runs over all finite readings: a reading outside the limits is one of the withheld ones
     ok = np.flatnonzero(np.isfinite(x))
     y = x[ok]
-    stuck = np.zeros(len(y), bool) if pdf["metric_name"].iloc[0] in SELDOM_CHANGING else stuck_runs(y, min_run, max_equal_share)
-    spikes = kalman_spikes(y, threshold, max_spike)
-    for flags, value, name in ((stuck, np.zeros(len(y)), "stuck"), (spikes > 0, spikes, "spike")):
-        at = ok[flags]
-        at_free = reason[at] == ""
-        reason[at[at_free]] = name
-        score[at[at_free]] = value[flags][at_free]
-    keep = (reason != "") & pdf["own"].to_numpy(bool)
+    long, starts = long_runs(y, min_run)
+    stuck, score = np.zeros(len(x), bool), np.zeros(len(x))
+    stuck[ok] = long & (name not in SELDOM_CHANGING)
+    score[ok] = kalman_spikes(y, threshold, max_spike, starts | ~stuck[ok])
+    keep = (bad | stuck | (score > 0)) & own
     out = pdf.loc[keep, ["metric_id", "source", "metric_name", "metric_value"]].copy()
-    out["reason"], out["score"] = reason[keep], score[keep]
-    return out
+    out["bad"], out["stuck"], out["score"] = bad[keep], stuck[keep], score[keep]
+    mine = own[ok]
+    counts = {"equal": mine & ~long & ~starts, "steps": mine & ~long, "changes": mine & ~long & starts, "runs": mine & long & starts}
+    total = pdf[["metric_id", "source", "metric_name", "metric_value"]].iloc[:1].copy()
+    total["metric_id"] = None
+    total["bad"], total["stuck"], total["score"] = False, False, 0.0
+    for k, v in counts.items():
+        out[k], total[k] = 0, int(v.sum())
+    return pd.concat([out, total]).astype({"metric_id": "Int64"}) if len(out) else total
 
 
 def implausible_readings(
@@ -201,9 +202,16 @@ def implausible_readings(
     rows = joined.select(*key, "metric_id", "ts", "metric_value", F.explode("_uses").alias("_use")).select(*key, "metric_id", "ts", "metric_value", F.col("_use.block").alias("block"), F.col("_use.own").alias("own"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return score_series(pdf, limits, threshold, max_spike, min_run, max_equal_share)
-
-    return rows.groupBy(*key, "block").applyInPandas(run, OUT_SCHEMA)
+        return score_series(pdf, limits, threshold, max_spike, min_run)
+
+    found = rows.groupBy(*key, "block").applyInPandas(run, BLOCK_SCHEMA)
+    # what is normal for the series: its steps outside the long runs, over all its blocks
+    series = Window.partitionBy(*key)
+    found = found.select("*", *[F.sum(c).over(series).alias(f"_{c}") for c in ("equal", "steps", "changes", "runs")])
+    changing = (F.col("_equal") <= max_equal_share * (F.col("_steps") + F.col("_runs"))) & (F.col("_changes") >= min_run) & (F.col("_changes") > F.col("_runs"))
+    reason = F.when(F.col("bad"), "limit").when(F.col("stuck") & changing, "stuck").when(F.col("score") > 0, "spike")
+    score = F.when(reason == "limit", float("inf")).when(reason == "stuck", 0.0).otherwise(F.col("score"))
+    return found.filter("metric_id is not null").select("metric_id", "source", "metric_name", "metric_value", reason.alias("reason"), score.alias("score")).filter("reason is not null")
 
 
 def series_health(flags: DataFrame, metrics: DataFrame) -> DataFrame:

@@ -81,3 +81,25 @@ def test_upper_limit(spark, name):
     x[30] = high
     x[60] = high * 1.01
     assert found(spark, series(x, name=name)).get(61) == "limit"
+
+
+@pytest.mark.parametrize("block_rows", [20_000, 400, 120])
+def test_freeze_of_most_of_a_series(spark, block_rows):
+    x = noise(900)
+    x[100:750] = [101.0] * 650
+    rows = series(x, step_s=60)
+    assert found(spark, rows, block_rows=block_rows) == dict.fromkeys(range(101, 751), "stuck")
+
+
+def test_long_runs_alone_are_normal(spark):
+    rows = series(np.repeat(noise(20), 30)) + series([100.0] * 300, 1001, source="b")
+    assert found(spark, rows) == {}
+    assert found(spark, series(np.repeat(noise(20), 30) + 1000, name="bundle_size_kb")) == {}
+
+
+def test_many_short_freezes(spark):
+    x = noise(400)
+    for k in range(10, 400, 20):
+        x[k : k + 12] = [x[k]] * 12
+    assert set(found(spark, series(x)).values()) == {"stuck"}
+    assert len(found(spark, series(x))) == 20 * 12
