@@ -57,15 +57,21 @@ def noise_model(x: np.ndarray) -> tuple[float, float]:
     m1, m2 = _spread(d1) ** 2, _spread(d2) ** 2
     if m1 == 0.0:
         return 0.0, 0.0
-    q = min(max(m2 - m1, 0.0), 0.9 * m1)
+    q = min(max(m2 - m1, 0.02 * m1), 0.9 * m1)  # with q at 0 the filter would no longer follow, and an error of the drift would add up
     return q, max((m1 - q) / 2, 0.02 * m1)
 
 
+def _level_at(values: list[float], drift: float) -> float:
+    """The level at the first of a few readings: the median of what they say of it."""
+    return float(np.median([v - k * drift for k, v in enumerate(values)]))
+
+
 def _one_way(values: list[float], q: float, r: float, drift: float, threshold: float, max_spike: int) -> np.ndarray:
     """Standardised innovation of every withheld reading after which the series came back, 0 elsewhere."""
     n = len(values)
     score = np.zeros(n)
-    level, var = sorted(values[:3])[1], r
+    # here and after a restart up to max_spike of the readings may be off
+    level, var = _level_at(values[: 2 * max_spike + 1], drift) - drift, r
     held: list[int] = []
     scores: list[float] = []
     i = 0
@@ -88,12 +94,13 @@ def _one_way(values: list[float], q: float, r: float, drift: float, threshold: f
             var = prior
             if len(held) > max_spike:  # it does not return: a lasting change of level; go on from the new one
                 i = held[0]
-                level, var = sorted(values[i : i + max_spike + 1])[(max_spike + 1) // 2] - drift, r
+                level, var = _level_at(values[i : i + 2 * max_spike + 1], drift), r
                 held, scores = [], []
-                # the reading that began the change is judged by the new level, and taken as it is if it is off that one too
-                if abs(values[i] - level) >= threshold * (var + q + r) ** 0.5:
-                    i += 1
-                continue
+                # the reading that began the change is taken as it is if it is off the new level too; either way the filter goes on behind it
+                if abs(values[i] - level) < threshold * (var + q + r) ** 0.5:
+                    gain = (var + q) / (var + q + r)
+                    level += gain * (values[i] - level)
+                    var = (1 - gain) * (var + q)
         i += 1
     return score
 
