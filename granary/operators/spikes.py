@@ -10,8 +10,9 @@ A series normally changes if, counted over all its blocks outside the runs of ``
 ``max_equal_share`` of its steps are equal, and it changes there at least ``min_run`` times and more often than it has
 such runs: a series that is nothing but long runs gives no sign that it should change.
 
-Scale: a series is cut into blocks of about ``block_rows`` readings with overlap on both sides, so that no
-task holds a whole unbounded series; counts per (series, hour) are the only thing aggregated beforehand.
+Scale: a series is cut by rank into blocks of ``block_rows`` readings (the last one below twice that) with overlap on
+both sides, so that no Python task holds a whole unbounded series, however its readings lie in time; counts per
+(series, hour) are the only thing aggregated beforehand.
 """
 
 from __future__ import annotations
@@ -141,7 +142,7 @@ def score_series(pdf: pd.DataFrame, limits: dict[str, tuple[float, float]], thre
     One row more, without metric_id, counts the block's own steps: ``equal`` and ``steps`` outside the long runs,
     ``changes`` (short runs) and ``runs`` (long ones that begin here).
     """
-    pdf = pdf.sort_values(["ts", "metric_id"], kind="stable").drop_duplicates("metric_id")
+    pdf = pdf.sort_values(["ts", "metric_id"], kind="stable")
     x = pdf["metric_value"].to_numpy(float)
     own = pdf["own"].to_numpy(bool)
     name = pdf["metric_name"].iloc[0]
@@ -181,32 +182,30 @@ def implausible_readings(
     """Readings that jump, freeze or take impossible values: metric_id, source, metric_name, metric_value, reason, score.
 
     Nulls: a reading with a null value, ts or metric_id is never flagged and takes no part in the filter; null
-    source or metric_name are series of their own.  Duplicate rows (same metric_id) count once; readings of equal
+    source or metric_name are series of their own.  Duplicate rows (same series and metric_id) count once, as the
+    earliest; readings of equal
     ts are ordered by metric_id.  An empty table gives an empty result; extra columns are ignored.
     """
     limits = METRIC_LIMITS if limits is None else limits
-    m = metrics.select("metric_id", "source", "metric_name", F.col("ts").cast("timestamp").alias("ts"), F.col("metric_value").cast("double").alias("metric_value")).filter("metric_id is not null and ts is not null and metric_value is not null")
-    m = m.withColumn("_cell", F.date_trunc("hour", "ts"))
+    if halo_rows < min_run:
+        raise ValueError("halo_rows is less than min_run: runs at block edges would not be seen whole")
     key = ["source", "metric_name"]
-    cells = m.groupBy(*key, "_cell").agg(F.count("*").alias("_n"))
-    ordered = Window.partitionBy(*key).orderBy("_cell")
-    cells = cells.withColumn("_end", F.sum("_n").over(ordered)).withColumn("_start", F.col("_end") - F.col("_n"))
-    cells = cells.withColumn("_block", F.floor(F.col("_start") / block_rows))
-    cells = cells.withColumn("_first", F.min("_start").over(Window.partitionBy(*key, "_block")))
-    # a cell is read by its own block, by the next one if it lies in its run-up, and by the one before as its look-ahead
-    before = F.expr(f"_end > (_block + 1) * {block_rows} - {halo_rows}")
-    after = F.expr(f"_block > 0 and _start - _first < {halo_rows}")
-    uses = F.filter(
-        F.array(
-            F.struct(F.col("_block").alias("block"), F.lit(True).alias("own")),
-            F.when(before, F.struct((F.col("_block") + 1).alias("block"), F.lit(False).alias("own"))),
-            F.when(after, F.struct((F.col("_block") - 1).alias("block"), F.lit(False).alias("own"))),
-        ),
-        lambda s: s.isNotNull(),
-    )
-    plan = cells.withColumn("_uses", uses).select(*[F.col(k).alias(f"_{k}") for k in key], F.col("_cell").alias("_at"), "_uses")
-    joined = m.join(plan, F.col("source").eqNullSafe(F.col("_source")) & F.col("metric_name").eqNullSafe(F.col("_metric_name")) & (F.col("_cell") == F.col("_at")))
-    rows = joined.select(*key, "metric_id", "ts", "metric_value", F.explode("_uses").alias("_use")).select(*key, "metric_id", "ts", "metric_value", F.col("_use.block").alias("block"), F.col("_use.own").alias("own"))
+    m = metrics.select("metric_id", *key, F.col("ts").cast("timestamp").alias("ts"), F.col("metric_value").cast("double").alias("metric_value")).filter("metric_id is not null and ts is not null and metric_value is not null")
+    # structs of nulls are equal, so a series is one key, null or not
+    m = m.groupBy(F.struct(*key).alias("_series"), "metric_id").agg(F.min(F.struct("ts", "metric_value")).alias("_r")).select("_series", "metric_id", "_r.*")
+    m = m.withColumn("_cell", F.date_trunc("hour", "ts"))
+    cells = m.groupBy("_series", "_cell").agg(F.count("*").alias("_n"))
+    ordered = Window.partitionBy("_series").orderBy("_cell")
+    cells = cells.withColumn("_start", F.sum("_n").over(ordered) - F.col("_n")).withColumn("_total", F.sum("_n").over(Window.partitionBy("_series")))
+    # the rank of a reading in its series is its rank in the cell after the readings of earlier cells
+    ranked = m.withColumn("_rank", F.row_number().over(Window.partitionBy("_series", "_cell").orderBy("ts", "metric_id")))
+    ranked = ranked.join(cells, ["_series", "_cell"]).withColumn("rank", F.col("_start") + F.col("_rank") - 1)
+    # blocks of block_rows, the last one up to twice that; a reading is also read by the blocks that it is within halo_rows of
+    last = F.expr(f"greatest(0, _total div {block_rows} - 1)")
+    block = lambda shift: F.greatest(F.lit(0), F.least(last, F.floor((F.col("rank") + shift) / block_rows)))
+    uses = F.sequence(block(-halo_rows), block(halo_rows))
+    rows = ranked.withColumn("_own", block(0)).select("_series.*", "metric_id", "ts", "metric_value", "_own", F.explode(uses).alias("block"))
+    rows = rows.select(*key, "metric_id", "ts", "metric_value", "block", (F.col("block") == F.col("_own")).alias("own"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return score_series(pdf, limits, threshold, max_spike, min_run)

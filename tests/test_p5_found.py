@@ -103,3 +103,16 @@ def test_many_short_freezes(spark):
         x[k : k + 12] = [x[k]] * 12
     assert set(found(spark, series(x)).values()) == {"stuck"}
     assert len(found(spark, series(x))) == 20 * 12
+
+
+def test_block_edges_within_one_hour(spark):
+    x = noise(1500)
+    x[1434:1454] = [101.0] * 20
+    for k in (99, 199, 500, 602, 718, 799, 901):
+        x[k : k + 3] = [300.0, 310.0, 290.0]
+    whole = found(spark, series(x, step_s=1))
+    assert len(whole) == 20 + 7 * 3
+    assert found(spark, series(x, step_s=1), block_rows=100, halo_rows=60) == whole
+    assert found(spark, [(i, s, n, v, T0) for i, s, n, v, _ in series(x)], block_rows=100, halo_rows=60) == whole
+    # 720 readings in each clock hour
+    assert found(spark, series(x, step_s=5), block_rows=100, halo_rows=60) == whole
