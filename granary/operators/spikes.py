@@ -3,7 +3,7 @@
 A series is ``(source, metric_name)`` in the order of ``ts``.  Every series is filtered with a local-level
 Kalman filter with drift: a reading whose standardised innovation is above the threshold is withheld from the update;
 when the series returns within ``max_spike`` readings the withheld ones are spikes, otherwise the level has
-moved for good and the filter restarts there.  Readings whose innovations vanish (a run of equal values in a
+moved for good and the filter restarts there.  Readings of a long run of equal values (in a
 series that normally changes) are stuck, readings outside the limits of their metric are impossible.
 
 A series normally changes if, counted over all its blocks outside the runs of ``min_run`` or more, at most

@@ -12,3 +12,8 @@ def test_open_problems_are_listed():
     assert sorted(state) == list("12345678")
     built = {n[1] for n in __spark_entry__.queries()}
     assert {n for n, s in state.items() if s.startswith("open")} == set(state) - built
+
+
+def test_method_swap_of_p5_is_stated():
+    text = (Path(__file__).resolve().parents[1] / "README.md").read_text()
+    assert "innovation variance" in text and "`long_runs`" in text
