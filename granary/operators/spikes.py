@@ -106,13 +106,15 @@ def _one_way(values: list[float], q: float, r: float, drift: float, threshold: f
     return score
 
 
-def kalman_spikes(x: np.ndarray, threshold: float, max_spike: int, moving: np.ndarray | None = None) -> np.ndarray:
+def kalman_spikes(x: np.ndarray, threshold: float, max_spike: int, moving: np.ndarray | None = None, begins: bool = False) -> np.ndarray:
     """Score of every spike reading, 0 elsewhere; ``x`` holds finite readings in order.
 
     ``moving`` is False for readings that tell nothing of noise and drift, such as the repeats of a long run.
 
     The filter runs forwards and backwards and a spike is one for both, so the start of a trend or of a new level,
-    which only one direction finds surprising, is none.
+    which only one direction finds surprising, is none.  Where the series itself ``begins``, the pass backwards can't
+    see a return, and the pass forwards alone decides on the first readings; the last readings of a series, which are
+    not seen to return, are none.  Under 8 readings there is no usual scatter to go by, and no spike.
     """
     if len(x) < 8:
         return np.zeros(len(x))
@@ -125,7 +127,11 @@ def kalman_spikes(x: np.ndarray, threshold: float, max_spike: int, moving: np.nd
     ahead = _one_way(values, q, r, drift, threshold, max_spike)
     if not ahead.any():
         return ahead
-    return np.minimum(ahead, _one_way(values[::-1], q, r, -drift, threshold, max_spike)[::-1])
+    both = np.minimum(ahead, _one_way(values[::-1], q, r, -drift, threshold, max_spike)[::-1])
+    if begins:
+        first = int(np.argmin(ahead > 0))  # of the leading spike, if there is one
+        both[:first] = ahead[:first]
+    return both
 
 
 def long_runs(x: np.ndarray, min_run: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +143,7 @@ def long_runs(x: np.ndarray, min_run: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def score_series(pdf: pd.DataFrame, limits: dict[str, tuple[float, float]], threshold: float, max_spike: int, min_run: int) -> pd.DataFrame:
-    """Candidates of one block of one series (columns metric_id, source, metric_name, ts, metric_value, own).
+    """Candidates of one block of one series (columns metric_id, source, metric_name, ts, metric_value, own, begins).
 
     One row more, without metric_id, counts the block's own steps: ``equal`` and ``steps`` outside the long runs,
     ``changes`` (short runs) and ``runs`` (long ones that begin here).
@@ -154,7 +160,7 @@ def score_series(pdf: pd.DataFrame, limits: dict[str, tuple[float, float]], thre
     long, starts = long_runs(y, min_run)
     stuck, score = np.zeros(len(x), bool), np.zeros(len(x))
     stuck[ok] = long & (name not in SELDOM_CHANGING)
-    score[ok] = kalman_spikes(y, threshold, max_spike, starts | ~stuck[ok])
+    score[ok] = kalman_spikes(y, threshold, max_spike, starts | ~stuck[ok], bool(pdf["begins"].any()))
     keep = (bad | stuck | (score > 0)) & own
     out = pdf.loc[keep, ["metric_id", "source", "metric_name", "metric_value"]].copy()
     out["bad"], out["stuck"], out["score"] = bad[keep], stuck[keep], score[keep]
@@ -204,8 +210,8 @@ def implausible_readings(
     last = F.expr(f"greatest(0, _total div {block_rows} - 1)")
     block = lambda shift: F.greatest(F.lit(0), F.least(last, F.floor((F.col("rank") + shift) / block_rows)))
     uses = F.sequence(block(-halo_rows), block(halo_rows))
-    rows = ranked.withColumn("_own", block(0)).select("_series.*", "metric_id", "ts", "metric_value", "_own", F.explode(uses).alias("block"))
-    rows = rows.select(*key, "metric_id", "ts", "metric_value", "block", (F.col("block") == F.col("_own")).alias("own"))
+    rows = ranked.withColumn("_own", block(0)).select("_series.*", "metric_id", "ts", "metric_value", "_own", (F.col("rank") == 0).alias("begins"), F.explode(uses).alias("block"))
+    rows = rows.select(*key, "metric_id", "ts", "metric_value", "begins", "block", (F.col("block") == F.col("_own")).alias("own"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return score_series(pdf, limits, threshold, max_spike, min_run)

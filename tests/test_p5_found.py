@@ -116,3 +116,13 @@ def test_block_edges_within_one_hour(spark):
     assert found(spark, [(i, s, n, v, T0) for i, s, n, v, _ in series(x)], block_rows=100, halo_rows=60) == whole
     # 720 readings in each clock hour
     assert found(spark, series(x, step_s=5), block_rows=100, halo_rows=60) == whole
+
+
+def test_spike_at_the_start_and_short_series(spark):
+    x = noise(200)
+    x[:2] = [300.0, 310.0]
+    x[-2:] = [300.0, 310.0]
+    short = [100.0, 101.0, 900.0, 100.5, 99.5, -1.0, 100.0]
+    rows = series(x) + series(short, 1001, source="b")
+    assert found(spark, rows) == {1: "spike", 2: "spike", 1006: "limit"}
+    assert found(spark, rows, block_rows=50, halo_rows=40) == {1: "spike", 2: "spike", 1006: "limit"}
