@@ -6,13 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import spans
+from granary.llm import leaks, spans
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with 15 successive words of an evaluation item."""
+    return leaks.leaked_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items"))
+
+
+def p7_reworked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with an evaluation item whose numbers, names or units were replaced."""
+    return leaks.reworked_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents that share a stretch of 500 characters."""
     return spans.shared_spans(_read(spark, sf_dir, "documents"))
@@ -24,7 +34,7 @@ def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p8_found, p8_shared)}
+    return {f.__name__: f for f in (p7_found, p7_reworked, p8_found, p8_shared)}
 
 
 def oracle_sql() -> dict[str, str]:
