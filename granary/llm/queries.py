@@ -6,13 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import leaks, spans
+from granary.llm import history, leaks, spans
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports that repeat the defect of an earlier one."""
+    return history.repeated_reports(_read(spark, sf_dir, "issue_infos"))
+
+
+def p4_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record per defect with its times and occurrences."""
+    return history.merged_reports(_read(spark, sf_dir, "issue_infos"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with 15 successive words of an evaluation item."""
     return leaks.leaked_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items"))
@@ -34,7 +44,7 @@ def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p7_found, p7_reworked, p8_found, p8_shared)}
+    return {f.__name__: f for f in (p4_found, p4_merged, p7_found, p7_reworked, p8_found, p8_shared)}
 
 
 def oracle_sql() -> dict[str, str]:
