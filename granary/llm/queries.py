@@ -5,14 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from granary.llm import history, leaks, spans
+from granary.llm import handwritten, history, leaks, spans
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files that were generated, minified, vendored or are data."""
+    return handwritten.not_handwritten(_read(spark, sf_dir, "source_files")).select("file_id")
+
+
+def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per repo: files with code, and those that are not hand-written."""
+    files = _read(spark, sf_dir, "source_files").filter("source_code is not null").select("file_id", "repo").distinct()
+    found = handwritten.not_handwritten(_read(spark, sf_dir, "source_files")).select("file_id", F.lit(1).alias("found"))
+    return files.join(found, "file_id", "left").groupBy("repo").agg(F.count("*").alias("files"), F.count("found").alias("not_handwritten"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports that repeat the defect of an earlier one."""
     return history.repeated_reports(_read(spark, sf_dir, "issue_infos"))
@@ -44,7 +57,7 @@ def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_merged, p7_found, p7_reworked, p8_found, p8_shared)}
+    return {f.__name__: f for f in (p1_found, p1_rates, p4_found, p4_merged, p7_found, p7_reworked, p8_found, p8_shared)}
 
 
 def oracle_sql() -> dict[str, str]:
