@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import handwritten, history, leaks, spans
+from granary.llm import credentials, handwritten, history, leaks, spans
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,6 +26,29 @@ def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.join(found, "file_id", "left").groupBy("repo").agg(F.count("*").alias("files"), F.count("found").alias("not_handwritten"))
 
 
+def _credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = credentials.credential_lines(_read(spark, sf_dir, "source_files"), "file_id", "source_code", "file_path")
+    issues = credentials.credential_lines(_read(spark, sf_dir, "issues"), "issue_id", "code", F.col("loc.file_path"))
+    return files.select(F.lit("source_files").alias("origin"), "*").union(issues.select(F.lit("issues").alias("origin"), "*"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of source_code and of issues.code on which a credential begins."""
+    return _credentials(spark, sf_dir).select("origin", "row_id", "line_no").distinct()
+
+
+def p3_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Credentials by origin and kind."""
+    return _credentials(spark, sf_dir).distinct().groupBy("origin", "kind").agg(F.count("*").alias("lines"), F.countDistinct("row_id").alias("texts"))
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose code changes when credentials are hidden, with the length before and after (equal) and a digest."""
+    files = _read(spark, sf_dir, "source_files").select("file_id", "file_path", "source_code", F.col("source_code").alias("hidden"))
+    done = credentials.redacted(files, "hidden", "file_path").filter("hidden <> source_code")
+    return done.select("file_id", F.length("source_code").alias("chars"), F.length("hidden").alias("hidden_chars"), F.md5("hidden").alias("hidden_md5"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports that repeat the defect of an earlier one."""
     return history.repeated_reports(_read(spark, sf_dir, "issue_infos"))
@@ -57,7 +80,7 @@ def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_rates, p4_found, p4_merged, p7_found, p7_reworked, p8_found, p8_shared)}
+    return {f.__name__: f for f in (p1_found, p1_rates, p3_found, p3_kinds, p3_redacted, p4_found, p4_merged, p7_found, p7_reworked, p8_found, p8_shared)}
 
 
 def oracle_sql() -> dict[str, str]:
