@@ -21,14 +21,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.llm.shared import cut
+
 #: APIs of the page that have no inner capital, so that only a list tells them from words.
 PLAIN_APIS = ("eval", "fetch", "Function", "document.write", "location.assign", "window.open")
 
 #: What may stand before a path's own part.
 ROOTS = r"^(?:webpack:/+|file:/+|[a-z]:/(?:agent/ws/)?|/home/[^/]+/work/|/builds?/|/workspace/|/app/|\./|/)+"
 
-_KEYS = ["_cell"]
-
 
 class Segment:
     """Suffix array over the words of some records; never changed once it is built."""
@@ -136,14 +136,17 @@ def own_path(path: Column) -> Column:
 
 def plain_words(text: Column) -> Column:
     """Words without case, spacing, punctuation and everything that holds a digit (numbers, dates, ids, positions)."""
-    letters = F.regexp_replace(F.lower(text), r"[\p{L}\p{N}_]*\p{N}[\p{L}\p{N}_]*", " ")
-    return F.trim(F.regexp_replace(letters, r"[^\p{L}]+", " "))
+    letters = F.regexp_replace(F.lower(text), r"(?<![\p{L}\p{N}_])[\p{L}_]*+\p{N}[\p{L}\p{N}_]*+", " ")
+    return F.trim(F.regexp_replace(letters, r"[^\p{L}]++", " "))
+
+
+_API = r"(?<![\w.])(?:" + "|".join(re.escape(a.lower()) for a in PLAIN_APIS) + r")(?![\w.]*+\w)"
 
 
 def mentioned_names(text: Column) -> Column:
     """Sorted lower-cased names in a text: words with an inner capital and the plain APIs."""
-    inner = F.regexp_extract_all(text, F.lit(r"\b([A-Za-z]\w*[a-z]\w*[A-Z]\w*|[A-Z]+[a-z]+\w*[A-Z]\w*)\b"), F.lit(0))
-    apis = F.array_compact(F.array(*[F.when(F.lower(text).rlike(r"(?<![\w.])" + re.escape(a.lower()) + r"(?![\w.]*\w)"), F.lit(a.lower())) for a in PLAIN_APIS]))
+    inner = F.regexp_extract_all(text, F.lit(r"(?<!\w)[A-Za-z]\w*?[a-z][A-Z]\w*+"), F.lit(0))
+    apis = F.regexp_extract_all(F.lower(text), F.lit(_API), F.lit(0))
     return F.array_sort(F.array_distinct(F.concat(F.transform(inner, F.lower), apis)))
 
 
@@ -162,6 +165,7 @@ def same_defects(reports: DataFrame, *, run: int = 3, share: float = 0.2, few: f
     shouted = ~F.col("_text").rlike("[a-z][A-Z]") | (F.length(F.regexp_replace("_text", "[^A-Z]", "")) > F.length(F.regexp_replace("_text", "[^a-z]", "")))
     r = r.filter("_plain <> ''").withColumn("_shouted", shouted)
     r = r.withColumn("_names", mentioned_names(F.when(F.col("_shouted"), F.lower("_text")).otherwise(F.col("_text")))).drop("_text")
+    r = cut(r)
     spelt = r.filter("not _shouted").select(F.explode("_names").alias("word")).distinct()
     lost = r.filter("_shouted")
     words = lost.select("_plain", F.explode(F.array_distinct(F.split("_plain", " "))).alias("word")).distinct()
