@@ -145,7 +145,7 @@ tprim : qn | qn TLT Tl TGT | LIT | STR | - LIT | tpl | VOID | ( T ) | OB tmember
 qn : IDENT | qn . IDENT ;
 tuple : | tuple1 | tuple1 , ;
 tuple1 : tel | tuple1 , tel ;
-tel : T | T OPT | ... T | IDENT : T | IDENT OPT : T | ... IDENT : T ;
+tel : T | T OPT | ... T | T : T | T OPT : T | ... T : T ;
 """
 
 #: loosest first

@@ -21,7 +21,7 @@ _MARK = re.compile(r">>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==
 _JNAME = re.compile(r"[^\W\d][\w$-]*|\$[\w$-]*")
 _JTEXT = re.compile(r"[^<{>}]+")
 _JSTRING = re.compile(r"\"[^\"]*\"|'[^']*'")
-_TARGS = re.compile(r"&&|\|\||=>|==|\"[^\"\n]*\"|'[^'\n]*'|[\w$.,\s|&?:;\-]+|[<>()\[\]{}=]|.", re.S)
+_TARGS = re.compile(r"&&|\|\||=>|==|\"[^\"\n]*\"|'[^'\n]*'|[\w$.,\s?:;\-]+|[|&]|[<>()\[\]{}=]|.", re.S)
 
 _FIXED = {
     "var": "VAR", "let": "VAR", "const": "VAR", "function": "FUNCTION", "class": "CLASS", "extends": "EXTENDS", "new": "NEW", "return": "RETURN", "if": "IF", "else": "ELSE", "for": "FOR", "while": "WHILE",
@@ -124,7 +124,9 @@ class Lexer:
 
     def _ended(self, prev: str) -> bool:
         """An expression ends with the token before."""
-        return prev in _ENDS or prev == "}" and self.closed_object or prev == ")" and not self.closed_control
+        if prev == ")":
+            return not self.closed_control
+        return prev in _ENDS or prev == "}" and self.closed_object
 
     closed_object = False
     closed_control = False
@@ -582,6 +584,8 @@ class Lexer:
         open_marks, ends, at = [], [], pos
         for m in _TARGS.finditer(self.text, pos, pos + 2000):
             t = m[0]
+            if t in ("&&", "||", "=="):
+                return False
             if t in ("(", "[", "{", "<"):
                 open_marks.append(t)
             elif t in (")", "]", "}", ">"):
@@ -593,7 +597,7 @@ class Lexer:
                 if not open_marks:
                     at = m.end()
                     break
-            elif t in ("=>", "=") or t[0] in "\"'" or len(t) > 1 and t not in ("&&", "||", "==") or re.match(r"[\w$.,\s|&?:;\-]", t):
+            elif t in ("=>", "=") or t[0] in "\"'" or re.match(r"[\w$.,\s|&?:;\-]", t):
                 if ";" in t and "{" not in open_marks:
                     return False
                 continue

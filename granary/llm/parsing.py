@@ -28,7 +28,8 @@ _SCRIPT = re.compile(r"<script\b[^>]*>([\s\S]*?)(?:</script\s*>|\Z)", re.I)
 
 
 def extension(path: str) -> str:
-    return path.rpartition("/")[2].rpartition(".")[2].lower()
+    name, dot, ext = path.rpartition("/")[2].rpartition(".")
+    return ext.lower() if dot else ""
 
 
 def blocks(text: str, ext: str) -> list[tuple[str, int]]:

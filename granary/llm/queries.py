@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import credentials, handwritten, history, leaks, spans
+from granary.llm import credentials, handwritten, history, leaks, parsing, spans
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,6 +26,16 @@ def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.join(found, "file_id", "left").groupBy("repo").agg(F.count("*").alias("files"), F.count("found").alias("not_handwritten"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files that the grammar of their extension rejects."""
+    return parsing.rejected_files(_read(spark, sf_dir, "source_files")).select("file_id").distinct()
+
+
+def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejected files per repo and lang."""
+    return parsing.rejection_rates(_read(spark, sf_dir, "source_files"))
+
+
 def _credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = credentials.credential_lines(_read(spark, sf_dir, "source_files"), "file_id", "source_code", "file_path")
     issues = credentials.credential_lines(_read(spark, sf_dir, "issues"), "issue_id", "code", F.col("loc.file_path"))
@@ -80,7 +90,7 @@ def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_rates, p3_found, p3_kinds, p3_redacted, p4_found, p4_merged, p7_found, p7_reworked, p8_found, p8_shared)}
+    return {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_rates, p3_found, p3_kinds, p3_redacted, p4_found, p4_merged, p7_found, p7_reworked, p8_found, p8_shared)}
 
 
 def oracle_sql() -> dict[str, str]:
