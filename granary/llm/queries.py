@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import credentials, handwritten, history, leaks, parsing, spans
+from granary.llm import credentials, handwritten, history, leaks, packing, parsing, spans
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -69,6 +69,16 @@ def p4_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.merged_reports(_read(spark, sf_dir, "issue_infos"))
 
 
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every text, or of each part of a text that is too large, for each kind of container."""
+    return packing.packed(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "containers"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used and the share of their room that is filled."""
+    return packing.fill_rates(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "containers"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with 15 successive words of an evaluation item."""
     return leaks.leaked_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items"))
@@ -90,7 +100,7 @@ def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_rates, p3_found, p3_kinds, p3_redacted, p4_found, p4_merged, p7_found, p7_reworked, p8_found, p8_shared)}
+    return {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_rates, p3_found, p3_kinds, p3_redacted, p4_found, p4_merged, p6_packed, p6_fill, p7_found, p7_reworked, p8_found, p8_shared)}
 
 
 def oracle_sql() -> dict[str, str]:
