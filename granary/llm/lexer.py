@@ -41,6 +41,12 @@ _MODS = frozenset("static async get set readonly public private protected abstra
 _PARAM_MODS = frozenset("private public protected readonly override".split())
 _RESTRICTED = frozenset("RETURN BREAK CONTINUE YIELD".split())
 _SIMPLE = re.compile(r"\s*(?:\(|[A-Za-z_$\"'\[{\d])")
+#: words that are not always identifiers
+_SPECIAL = frozenset([*_FIXED, *_PARAM_MODS, *"of as from async satisfies is keyof readonly unique infer implements interface enum type declare abstract namespace module".split()])
+_TARGET = re.compile(r"\s*=(?![=>])|\s+(?:of|in)\b")  # behind a pattern
+_BLANK = frozenset(" \t\v\f\r\n/")
+_NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*+(?![\\\u0080-\U0010ffff])")
+_MEMBER = re.compile(r"\.[A-Za-z_$][A-Za-z0-9_$]*+(?![\\\u0080-\U0010ffff])")
 
 
 class _Bad(Exception):
@@ -76,21 +82,49 @@ class Lexer:
         pos = text.find("\n") if text.startswith("#!") else 0
         if pos < 0:
             return
-        tokens = self.tokens
-        while True:
+        tokens, lines, starts, stack = self.tokens, self.line_before, self.starts, self.stack
+        skip, name, member = _SKIP.match, _NAME.match, _MEMBER.match
+        while pos < n:
             line = 0
-            m = _SKIP.match(text, pos)
-            if m:
-                line = 1 if "\n" in m[0] or "\r" in m[0] else 0
-                pos = m.end()
-            if pos >= n:
-                break
+            c = text[pos]
+            if c == " ":
+                pos += 1
+                if pos >= n:
+                    break
+                c = text[pos]
+            if c in _BLANK or c > "\x7f":
+                m = skip(text, pos)
+                if m:
+                    line = 1 if "\n" in m[0] or "\r" in m[0] else 0
+                    pos = m.end()
+                    if pos >= n:
+                        break
+                    c = text[pos]
             prev = tokens[-1] if tokens else ""
-            if prev in _RESTRICTED and line and prev != "YIELD":
+            if line and prev in _RESTRICTED and prev != "YIELD":
                 self._put(";", pos, 0)
                 prev = ";"
-            c = text[pos]
-            if c.isalpha() or c in "_$\\":
+            m = name(text, pos)
+            if m:
+                word = m[0]
+                if word in _SPECIAL or prev == "." or prev == "?." or stack and stack[-1][0] in "OCTM":
+                    self._word(word, pos, m.end(), prev, line)
+                else:
+                    tokens.append("IDENT")
+                    lines.append(line)
+                    starts.append(pos)
+                pos = m.end()
+            elif c == ";" or c == ",":
+                tokens.append(c)
+                lines.append(line)
+                starts.append(pos)
+                pos += 1
+            elif c == "." and (m := member(text, pos)):
+                tokens += (".", "IDENT")
+                lines += (line, 0)
+                starts += (pos, pos + 1)
+                pos = m.end()
+            elif c.isalpha() or c in "_$\\":
                 m = _WORD.match(text, pos)
                 if not m:
                     raise _Bad(pos)
@@ -348,11 +382,12 @@ class Lexer:
 
     def _mark(self, pos: int, prev: str, line: int) -> int:
         text, tokens, stack = self.text, self.tokens, self.stack
-        m = _MARK.match(text, pos)
-        if not m:
-            raise _Bad(pos)
-        mark = m[0]
-        end = m.end()
+        mark, end = text[pos], pos + 1
+        if mark not in "{}()[]":
+            m = _MARK.match(text, pos)
+            if not m:
+                raise _Bad(pos)
+            mark, end = m[0], m.end()
         if mark == "{":
             self._open_brace(pos, prev, line)
         elif mark == "}":
@@ -366,7 +401,8 @@ class Lexer:
                 inside = stack[-1][0]
                 return self._tag(end) if inside == "t" else self._children(end)
             self.closed_object = kind == "O"
-            self._settle(flag or bool(re.match(r"\s*=(?![=>])|\s+(?:of|in)\b", text[end : end + 200])), pending)
+            if pending:
+                self._settle(flag or bool(_TARGET.match(text, end)), pending)
         elif mark == "(":
             kind = "("
             if prev in ("IF", "WHILE", "SWITCH"):
@@ -387,11 +423,12 @@ class Lexer:
             self.closed_control = kind in "kf"
             self.closed_object = False
             self.last_paren = (opened, len(tokens) - 1)
-            after = _SKIP.match(text, end)
-            follow = text[after.end() if after else end :][:2]
-            self._settle(flag or follow == "=>", pending)
-            if self.typed and follow[:1] == ":" and kind == "(":
-                self.returns.append((len(stack), opened, len(tokens) - 1))
+            if pending or self.typed and kind == "(":
+                after = _SKIP.match(text, end)
+                at = after.end() if after else end
+                self._settle(flag or text.startswith("=>", at), pending)
+                if self.typed and kind == "(" and text.startswith(":", at):
+                    self.returns.append((len(stack), opened, len(tokens) - 1))
         elif mark == "[":
             self._put("[", pos, line)
             stack.append(["[", len(tokens) - 1, prev == "VAR", []])
@@ -400,7 +437,8 @@ class Lexer:
                 raise _Bad(pos)
             _, _, flag, pending = stack.pop()
             self._put("]", pos, line)
-            self._settle(flag or bool(re.match(r"\s*=(?![=>])|\s+of\b", text[end : end + 200])), pending)
+            if pending:
+                self._settle(flag or bool(_TARGET.match(text, end)), pending)
         elif mark == "=>":
             self._arrow(pos, line)
         elif mark in ("++", "--"):

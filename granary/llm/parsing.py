@@ -65,8 +65,8 @@ def parse_all(lexed: list[Lexer], table: Tables) -> np.ndarray:
     lengths = np.array([len(x.tokens) for x in lexed])
     begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     unknown = number["ERR"]
-    token = np.fromiter((number.get(t, unknown) for x in lexed for t in x.tokens), np.int32, int(lengths.sum()))
-    line = np.fromiter((v for x in lexed for v in x.line_before), np.bool_, len(token))
+    token = np.concatenate([np.array([number.get(t, unknown) for t in x.tokens], np.int32) for x in lexed])
+    line = np.concatenate([np.array(x.line_before, bool) for x in lexed])
     may_end = line | (token == number["}"]) | (token == number["EOF"])
     asi, action, goto = number["ASI"], table.action, table.goto
     # files of similar length side by side
