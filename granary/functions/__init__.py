@@ -1 +1 @@
-"""Part of the engine; see README.md."""
+"""Scalar functions on Columns."""

@@ -1 +1 @@
-"""Part of the engine; see README.md."""
+"""Operators on DataFrames."""

@@ -1 +1 @@
-"""Part of the engine; see README.md."""
+"""Files and documents as tables."""

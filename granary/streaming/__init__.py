@@ -1 +1 @@
-"""Part of the engine; see README.md."""
+"""Continuous versions of the event operators."""
