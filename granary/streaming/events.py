@@ -43,30 +43,39 @@ def sessions(events: DataFrame, *, gap: str = "10 minutes", late: str = "1 hour"
     return s.agg(F.count("*").alias("events"), F.max("ts").alias("last_ts")).select("user_id", "events", "last_ts")
 
 
-def _lifecycle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    mounted, renders, most = state.get if state.exists else (False, 0, 0.0)
-    if state.hasTimedOut:
-        state.remove()
-        yield pd.DataFrame([(key[0], "expired", renders, most)], columns=["user_id", "what", "renders", "most"])
-        return
-    out = []
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    for kind, value in zip(rows["event_type"], rows["value"], strict=True):
-        if kind == "signup":
-            mounted, renders, most = True, 0, 0.0
-        elif kind == "error" and mounted:
-            out.append((key[0], "left", renders, most))
-            mounted = False
-        elif value is not None:
-            renders, most = renders + 1, max(most, value)
-    state.update((mounted, renders, most))
-    state.setTimeoutDuration(24 * 3600 * 1000)
-    yield pd.DataFrame(out, columns=["user_id", "what", "renders", "most"])
-
-
-def lifecycle(events: DataFrame) -> DataFrame:
-    """Mount and unmount per component (signup and error here): a row when a mounted one leaves, state expires after 24 hours."""
-    return events.groupBy("user_id").applyInPandasWithState(_lifecycle, "user_id bigint, what string, renders bigint, most double", "mounted boolean, renders bigint, most double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+def _lifecycle(hours: float | None):
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mounted, renders, most = state.get if state.exists else (False, 0, 0.0)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(key[0], "expired", renders, most)], columns=["user_id", "what", "renders", "most"])
+            return
+        out = []
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        for kind, value in zip(rows["event_type"], rows["value"], strict=True):
+            if kind == "signup":
+                mounted, renders, most = True, 0, 0.0
+            elif kind == "error" and mounted:
+                out.append((key[0], "left", renders, most))
+                mounted = False
+            elif pd.notna(value):
+                renders, most = renders + 1, max(most, value)
+        state.update((mounted, renders, most))
+        if hours is not None:
+            state.setTimeoutDuration(int(hours * 3_600_000))
+        yield pd.DataFrame(out, columns=["user_id", "what", "renders", "most"])
+
+    return fold
+
+
+def lifecycle(events: DataFrame, *, expire_hours: float | None = None) -> DataFrame:
+    """Mount and unmount per component (signup and error here): a row when a mounted one leaves.
+
+    With ``expire_hours`` state that no event touches for so long ends with a row of its own; that needs a trigger by
+    interval, since a run over what is there would wait for the last state to expire.
+    """
+    timeout = GroupStateTimeout.NoTimeout if expire_hours is None else GroupStateTimeout.ProcessingTimeTimeout
+    return events.groupBy("user_id").applyInPandasWithState(_lifecycle(expire_hours), "user_id bigint, what string, renders bigint, most double", "mounted boolean, renders bigint, most double", "append", timeout)
 
 
 def alerts(events: DataFrame, warning: float, critical: float) -> DataFrame:
