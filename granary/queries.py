@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
-from granary.operators import assets, caches, changes, graphs, issues, measures, rules
+from granary.operators import assets, caches, changes, graphs, issues, measures, nodes, rules
 from granary.operators.spikes import implausible_readings, series_health
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -838,3 +838,19 @@ def agg21_feedback(spark: SparkSession, d: str) -> DataFrame:
     """AGG-21: accuracy of judgements."""
     i = _read(spark, d, "issue_infos").withColumn("severity", F.lower("severity"))
     return measures.feedback_accuracy(i, ["severity"], F.col("category") == "security")
+
+
+# nodes of scripts
+
+
+@query()
+def src5_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-5 to SRC-7: nodes per file and kind; a file that can't be parsed is one row of kind error."""
+    return nodes.nodes(_read(spark, d, "source_files")).groupBy("file_id", "kind").agg(F.count("*").alias("nodes"))
+
+
+@query()
+def rul13_node_rules(spark: SparkSession, d: str) -> DataFrame:
+    """RUL-8, RUL-9, RUL-11, RUL-13 to RUL-19, RUL-23, RUL-25 to RUL-27, RUL-29, JOI-12, UDF-2: rules on nodes, parsed once."""
+    n = nodes.nodes(_read(spark, d, "source_files")).persist()
+    return nodes.match_rules(n)
