@@ -2,9 +2,10 @@
 
 import pytest
 
-from granary.llm.grammar import Tables, build, rules, tables
-from granary.llm.lexer import Lexer
-from granary.llm.parsing import SCRIPTS, errors, extension, parse_all, rejected_files, rejection_rates
+from granary.scripts.grammar import Tables, build, rules, tables
+from granary.scripts.lexer import Lexer
+from granary.llm.parsing import rejected_files, rejection_rates
+from granary.scripts.parser import SCRIPTS, errors, extension, parse_all
 
 GOOD = {
     "js": [
