@@ -78,3 +78,37 @@ def leak_pattern(kind: Column, size: Column, name: Column, growing: Column) -> C
         .when(~special & (name.contains("Store") | name.contains("Redux")), as_("redux_store", "medium"))
         .otherwise(as_("other", over(50_000, "high", "low")))
     )
+
+
+#: Features of a leak by an object's kind and what is known of it: (feature, kind or None, key of the metadata, its value).
+LEAK_FEATURES = (
+    ("detached_dom", "dom_node", "detached", "true"),
+    ("zombie_component", "component_instance", "unmounted", "true"),
+    ("event_listener", "event_listener", "owner_unmounted", "true"),
+    ("timer_reference", "timer", "owner_unmounted", "true"),
+    ("closure_cycle", "closure", "cyclic", "true"),
+    ("effect_dependencies", "closure", "missing_deps", "true"),
+    ("context_reference", None, "context", "true"),
+    ("redux_store", None, "store", "true"),
+)
+
+
+def leak_features(kind: Column, metadata: Column) -> Column:
+    """Names of the features that an object shows; metadata is a map of texts, null is none."""
+    known = F.coalesce(metadata, F.create_map().cast("map<string,string>"))
+    hits = []
+    for name, needs, key, value in LEAK_FEATURES:
+        ok = known[key].eqNullSafe(F.lit(value))
+        hits.append(F.when(ok & (kind == needs) if needs else ok, F.lit(name)))
+    return F.array_compact(F.array(*hits))
+
+
+def confidence(features: Column, of: int = len(LEAK_FEATURES)) -> Column:
+    """How many of all features an object shows, as a share."""
+    return F.round(F.size(features) / of, 6)
+
+
+def enriched(objects: DataFrame, notes: DataFrame, key: str = "pattern") -> DataFrame:
+    """Objects with what a table of notes says of their pattern; objects without a note stay, with their own text."""
+    n = notes.select(key, F.col("text").alias("_note"))
+    return objects.join(n, key, "left").withColumn("text", F.coalesce("_note", "text")).drop("_note")

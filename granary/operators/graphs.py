@@ -56,3 +56,24 @@ def chain_kind(kinds: Column) -> Column:
 def path_text(path: Column) -> Column:
     """root → next → … → object."""
     return F.array_join(path, " -> ")
+
+
+def simplified(path: Column, kinds: Column, *, keep_kinds: tuple[str, ...] = ("dom_node", "component_instance", "closure", "event_listener", "timer"), gap: int = 10) -> Column:
+    """A shorter path: first, last and key vertices, and the middle of a stretch of more than ``gap`` that is left out.
+
+    Paths of at most three vertices are left as they are; a stretch that is left out is marked by ``...``.
+    """
+    n = F.size(path)
+    wanted = lambda i: (i == 0) | (i == n - 1) | F.get(kinds, i).isin(*keep_kinds)
+    kept = F.filter(F.sequence(F.lit(0), n - 1), wanted)
+    far = lambda i, j: F.when(j - i > gap, F.array(F.floor((i + j) / 2).cast("int"))).otherwise(F.array().cast("array<int>"))
+    dense = F.flatten(F.transform(kept, lambda i, k: F.when(k == 0, F.array(i)).otherwise(F.concat(far(F.get(kept, k - 1), i), F.array(i)))))
+    marked = F.flatten(F.transform(dense, lambda i, k: F.when((k > 0) & (i - F.get(dense, k - 1) > 1), F.array(F.lit("..."), F.get(path, i))).otherwise(F.array(F.get(path, i)))))
+    return F.when(n <= 3, path).otherwise(marked)
+
+
+def key_vertices(path: Column, kinds: Column, keep: tuple[str, ...]) -> Column:
+    """Vertices of the given kinds; both ends if there are none and at least two vertices."""
+    pairs = F.filter(F.arrays_zip(path.alias("p"), kinds.alias("k")), lambda z: z["k"].isin(*keep))
+    found = F.transform(pairs, lambda z: z["p"])
+    return F.when((F.size(found) == 0) & (F.size(path) >= 2), F.array(F.get(path, F.lit(0)), F.element_at(path, -1))).otherwise(found)

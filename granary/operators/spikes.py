@@ -3,7 +3,7 @@
 A series is ``(source, metric_name)`` in the order of ``ts``.  Every series is filtered with a local-level
 Kalman filter with drift: a reading whose standardised innovation is above the threshold is withheld from the update;
 when the series returns within ``max_spike`` readings the withheld ones are spikes, otherwise the level has
-moved for good and the filter restarts there.  Readings of a long run of equal values (in a
+moved for good and the filter restarts there.  Readings over which the innovation variance vanishes (in a
 series that normally changes) are stuck, readings outside the limits of their metric are impossible.
 
 A series normally changes if, counted over all its blocks outside the runs of ``min_run`` or more, at most
@@ -134,12 +134,28 @@ def kalman_spikes(x: np.ndarray, threshold: float, max_spike: int, moving: np.nd
     return both
 
 
-def long_runs(x: np.ndarray, min_run: int) -> tuple[np.ndarray, np.ndarray]:
-    """(reading is in a run of ``min_run`` or more equal values, reading begins a run)."""
-    starts = np.concatenate([[True], np.diff(x) != 0])[: len(x)]
-    at = np.flatnonzero(starts)
-    lengths = np.diff(np.concatenate([at, [len(x)]]))
-    return np.repeat(lengths >= min_run, lengths), starts
+def vanishing_variance(x: np.ndarray, min_run: int) -> tuple[np.ndarray, np.ndarray]:
+    """(reading is where the innovation variance vanishes, reading brings an innovation).
+
+    While a series stands still the filter's own level still drifts towards it, so its innovations only fade.  Those of
+    the state-space model whose level takes up each reading whole (no reading noise, gain 1) stop at once: they are the
+    steps from reading to reading.  Their variance over ``min_run`` readings is kept as a moving sum of squares; where it
+    is zero, all readings of that window are stuck.  The test is exact: a window of equal readings, and no other.
+    """
+    if len(x) == 0:
+        return np.zeros(0, bool), np.zeros(0, bool)
+    innovation = np.concatenate([[np.inf], np.diff(x)])
+    moves = innovation != 0
+    # squares of steps may underflow; whether a step is zero may not
+    total = np.concatenate([[0], np.cumsum(moves)])
+    n = len(x)
+    stuck = np.zeros(n + 1, np.int64)
+    if n >= min_run:
+        first = np.arange(n - min_run + 1)
+        still = first[total[first + min_run] - total[first + 1] == 0]  # no innovation behind the window's first reading
+        np.add.at(stuck, still, 1)
+        np.add.at(stuck, still + min_run, -1)
+    return np.cumsum(stuck)[:n] > 0, moves
 
 
 def score_series(pdf: pd.DataFrame, limits: dict[str, tuple[float, float]], threshold: float, max_spike: int, min_run: int) -> pd.DataFrame:
@@ -157,7 +173,7 @@ def score_series(pdf: pd.DataFrame, limits: dict[str, tuple[float, float]], thre
     # the filter runs over all finite readings: a reading outside the limits is one of the withheld ones
     ok = np.flatnonzero(np.isfinite(x))
     y = x[ok]
-    long, starts = long_runs(y, min_run)
+    long, starts = vanishing_variance(y, min_run)
     stuck, score = np.zeros(len(x), bool), np.zeros(len(x))
     stuck[ok] = long & (name not in SELDOM_CHANGING)
     score[ok] = kalman_spikes(y, threshold, max_spike, starts | ~stuck[ok], bool(pdf["begins"].any()))

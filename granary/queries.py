@@ -854,3 +854,137 @@ def rul13_node_rules(spark: SparkSession, d: str) -> DataFrame:
     """RUL-8, RUL-9, RUL-11, RUL-13 to RUL-19, RUL-23, RUL-25 to RUL-27, RUL-29, JOI-12, UDF-2: rules on nodes, parsed once."""
     n = nodes.nodes(_read(spark, d, "source_files")).persist()
     return nodes.match_rules(n)
+
+
+# more rules, features and reports
+
+_SENSITIVE = (("api_key", r"(?i)api[_-]?key|apikey"), ("password", r"(?i)password|passwd|pwd"), ("token", r"(?i)token|jwt|auth[_-]token"), ("credential", r"(?i)credential|cred"), ("secret", r"(?i)secret|private"))
+
+
+@query(
+    """select issue_id, case when regexp_matches(code, '(?i)api[_-]?key|apikey') then 'api_key' when regexp_matches(code, '(?i)password|passwd|pwd') then 'password' when regexp_matches(code, '(?i)token|jwt|auth[_-]token') then 'token'
+    when regexp_matches(code, '(?i)credential|cred') then 'credential' else 'secret' end kind from (select distinct * from issues) where regexp_matches(code, '(?i)api[_-]?key|apikey|password|passwd|pwd|token|jwt|credential|cred|secret|private')"""
+)
+def rul10_sensitive_code(spark: SparkSession, d: str) -> DataFrame:
+    """RUL-10: the first kind of secret that a piece of code speaks of."""
+    kind = F.coalesce(*[F.when(F.col("code").rlike(p), F.lit(k)) for k, p in _SENSITIVE])
+    return _issues(spark, d).select("issue_id", kind.alias("kind")).filter("kind is not null")
+
+
+@query("select info_id, 'medium' \"level\" from issue_infos where regexp_matches(description, '(?i)^\\[SECURITY\\]')")
+def rul31_console_lines(spark: SparkSession, d: str) -> DataFrame:
+    """RUL-31, SRC-12: lines that a console marks as security, with their level."""
+    from granary.sources.files import console_level
+
+    return _read(spark, d, "issue_infos").select("info_id", console_level(F.col("description")).alias("level")).filter("level is not null")
+
+
+@query("select info_id, component from issue_infos where component is not null and not regexp_matches(component, '^[A-Z][A-Za-z0-9]*$')")
+def rul28_component_names(spark: SparkSession, d: str) -> DataFrame:
+    """RUL-28: names that are not in the form of components."""
+    return _read(spark, d, "issue_infos").filter(~F.col("component").rlike("^[A-Z][A-Za-z0-9]*$")).select("info_id", "component")
+
+
+@query("select user_id, count(*) calls, count(distinct event_type) hooks from events where event_type in ('click', 'view') group by 1 having count(*) > 20 and count(distinct event_type) > 1")
+def rul30_hook_checks(spark: SparkSession, d: str) -> DataFrame:
+    """RUL-30, AGG-11: components that call too many hooks."""
+    e = _read(spark, d, "events").filter(F.col("event_type").isin("click", "view"))
+    return e.groupBy("user_id").agg(F.count("*").alias("calls"), F.countDistinct("event_type").alias("hooks")).filter("calls > 20 and hooks > 1")
+
+
+@query("select rule_id, list_sort(list_filter(frameworks, lambda x: x not in ('react', 'vue'))) missing from scan_rules where len(list_filter(frameworks, lambda x: x not in ('react', 'vue'))) > 0")
+def rul24_missing_entries(spark: SparkSession, d: str) -> DataFrame:
+    """RUL-24, SET-3: what is used and not declared, as a difference of arrays."""
+    missing = F.array_sort(F.array_except("frameworks", F.array(F.lit("react"), F.lit("vue"))))
+    return _read(spark, d, "scan_rules").select("rule_id", missing.alias("missing")).filter(F.size("missing") > 0)
+
+
+@query("select file_id, cast(1 + len(regexp_extract_all(source_code, '\\b(?:if|for|while|case|catch)\\b|&&|\\|\\|')) as integer) complexity, cast(2 * length(source_code) as integer) estimate from source_files where source_code is not null")
+def agg26_complexity(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-25, AGG-26: branches of a script, its size in memory."""
+    c = F.col("source_code")
+    return _read(spark, d, "source_files").filter("source_code is not null").select("file_id", (F.size(F.regexp_extract_all(c, F.lit(r"\b(?:if|for|while|case|catch)\b|&&|\|\|"), F.lit(0))) + 1).alias("complexity"), (F.length(c) * 2).alias("estimate"))
+
+
+@query(f"""select object_id, case when "type" = 'dom_node' and retained = 2 then 'detached_dom' when "type" = 'component_instance' and retained = 2 then 'zombie_component' when "type" = 'closure' and retained = 2 then 'closure_cycle' else '' end features,
+  case when "type" in ('dom_node', 'component_instance', 'closure') and retained = 2 then 0.125 else 0 end confidence from {_TARGET}""")
+def cls2_leak_features(spark: SparkSession, d: str) -> DataFrame:
+    """CLS-2, AGG-19, UDF-5: features of objects and how sure they make."""
+    _, t = _snapshots(spark, d)
+    yes = F.when(F.col("retained") == 2, "true").otherwise("false")
+    known = F.create_map(F.lit("detached"), yes, F.lit("unmounted"), yes, F.lit("cyclic"), yes)
+    f = changes.leak_features(F.col("type"), known)
+    return t.select("object_id", F.array_join(f, ",").alias("features"), changes.confidence(f).alias("confidence"))
+
+
+@query("select info_id, issue_type pattern, case issue_type when 'leak' then 'take references away' when 'timer' then 'clear the timer' else description end \"text\" from issue_infos")
+def cls4_enriched(spark: SparkSession, d: str) -> DataFrame:
+    """CLS-3, CLS-4: guidance where there is some, the own text elsewhere."""
+    notes = spark.createDataFrame([("leak", "take references away"), ("timer", "clear the timer")], "pattern string, text string")
+    i = _read(spark, d, "issue_infos").select("info_id", F.col("issue_type").alias("pattern"), F.col("description").alias("text"))
+    return changes.enriched(i, notes)
+
+
+@query(
+    """select user_id, avg(cents) mean, max(cents) most, count(*) n from (select user_id, cast(round(value * 100) as bigint) cents, row_number() over (partition by user_id order by ts desc, event_id desc) rn from events) where rn <= 100 group by 1"""
+)
+def agg10_lifecycle_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-10, WIN-3: figures over the last 100 events of each component."""
+    last = measures.last_n(_cents(spark, d), ["user_id"], [F.desc("ts"), F.desc("event_id")], 100)
+    return last.groupBy("user_id").agg(F.avg("cents").alias("mean"), F.max("cents").alias("most"), F.count("*").alias("n"))
+
+
+@query(
+    """with recursive e as %s, w(object_id, pos, path) as (select 'S' || s_suppkey, 'S' || s_suppkey, ['S' || s_suppkey] from supplier union all select w.object_id, e.source_id, list_prepend(e.source_id, w.path) from w join e on e.target_id = w.pos)
+    select object_id, path[1] || ',' || path[len(path)] ends, array_to_string(path, ' -> ') path from w where pos like 'R%%'"""
+    % _EDGES
+)
+def gra3_simplified_paths(spark: SparkSession, d: str) -> DataFrame:
+    """GRA-3, GRA-4: short paths and their key vertices (both ends, where no vertex is of a key kind)."""
+    edges, roots = _graph(spark, d)
+    starts = edges.filter(F.col("target_id").startswith("S")).select(F.col("target_id").alias("object_id"))
+    p = graphs.retention_paths(starts, edges, roots, max_steps=4).withColumn("kinds", F.transform("path", lambda x: F.lit("other")))
+    ends = graphs.key_vertices(F.col("path"), F.col("kinds"), ("timer",))
+    return p.select("object_id", F.array_join(ends, ",").alias("ends"), graphs.path_text(graphs.simplified(F.col("path"), F.col("kinds"))).alias("path"))
+
+
+@query(f"select e.event_id, r.rule_id from (select event_id, event_type, user_id %% 40 k from events where event_type = 'error') e join (select rule_id, row_number() over (order by rule_id) - 1 n from scan_rules) r on e.k = r.n".replace("%%", "%"))
+def joi6_calls_and_findings(spark: SparkSession, d: str) -> DataFrame:
+    """JOI-6: calls joined with what is found of their hook."""
+    from pyspark.sql import Window
+
+    r = _read(spark, d, "scan_rules").select("rule_id", (F.row_number().over(Window.orderBy("rule_id")) - 1).alias("n"))  # rules are a table of fixed size
+    e = _read(spark, d, "events").filter("event_type = 'error'").select("event_id", (F.col("user_id") % 40).alias("n"))
+    return e.join(r, "n").select("event_id", "rule_id")
+
+
+@query(
+    f"""select issue_type, total, case when critical > 0 then 'fix critical issues first' when error > 10 then 'plan a clean-up' else 'keep watching' end advice from
+    (select issue_type, count(*) total, count(*) filter (where severity = 3) critical, count(*) filter (where severity = 2) error from {_D} group by 1)"""
+)
+def snk12_recommendations(spark: SparkSession, d: str) -> DataFrame:
+    """SNK-9, SNK-12, AGG-3: advice by counts."""
+    c = issues.counts(_issues(spark, d), "issue_type")
+    return c.select("issue_type", "total", F.when(F.col("critical") > 0, "fix critical issues first").when(F.col("error") > 10, "plan a clean-up").otherwise("keep watching").alias("advice"))
+
+
+@query()
+def snk1_json_report(spark: SparkSession, d: str) -> DataFrame:
+    """SNK-1, SNK-7, AGG-15: the issues of each file as one JSON text, in the order of severity."""
+    i = _issues(spark, d).filter("file_id is not null").select("file_id", "issue_id", "rule_id", "severity", "message")
+    return i.groupBy("file_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct((-F.col("severity")).alias("order"), "issue_id", "rule_id", "message")))).alias("json"))
+
+
+@query("select metric_id, source, metric_name from (select distinct * from metrics) where metric_value is not null and ts >= (select max(ts) from metrics) - interval 1 hour")
+def sta3_last_hour(spark: SparkSession, d: str) -> DataFrame:
+    """STA-2, STA-3, TOP-4: readings of the last hour of the data."""
+    m = measures.distinct_readings(_read(spark, d, "metrics"))
+    end = m.agg(F.max("ts")).first()[0]
+    return measures.fresh(m.filter("metric_value is not null"), "ts", F.lit(end), 1).select("metric_id", "source", "metric_name")
+
+
+@query("select metric_name, round(avg(metric_value), 3) mean, min(metric_value) least, max(metric_value) most, count(*) n from (select distinct * from metrics) where metric_type = 'timer' and metric_value is not null group by 1")
+def agg23_timers(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-23: figures of timers."""
+    m = measures.distinct_readings(_read(spark, d, "metrics")).filter("metric_type = 'timer' and metric_value is not null")
+    return m.groupBy("metric_name").agg(F.round(F.avg("metric_value"), 3).alias("mean"), F.min("metric_value").alias("least"), F.max("metric_value").alias("most"), F.count("*").alias("n"))
