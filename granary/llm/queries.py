@@ -103,5 +103,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_rates, p3_found, p3_kinds, p3_redacted, p4_found, p4_merged, p6_packed, p6_fill, p7_found, p7_reworked, p8_found, p8_shared)}
 
 
+_WORDS = "list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda x: lower(x))"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what it can say in reasonable time on whole tables."""
+
+    def windows(key: str, table: str) -> str:
+        return f"select {key}, unnest(list_transform(range(1, len(w) - 13), lambda i: array_to_string(w[i:i+14], ' '))) g from (select {key}, {_WORDS} w from {table} where text is not null) where len(w) >= 15"
+
+    lines = "select doc_id, n, line, sum(length(line) + 1) over (partition by doc_id order by n) - length(line) - 1 pos from (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) n from documents where text is not null)"
+    units = f"select doc_id, pos, length(line) len, trim(regexp_replace(line, '\\s+', ' ', 'g')) plain from ({lines}) where length(line) >= 40"
+    ranked = f"select *, row_number() over (partition by plain order by doc_id, pos) rn from ({units}) where length(plain) >= 40"
+    return {
+        "p7_found": f"select distinct item_id, doc_id from ({windows('item_id', 'eval_items')}) join ({windows('doc_id', 'documents')}) using (g)",
+        "p8_shared": f"select doc_id, cast(length(text) as integer) chars, cast(shared_chars as bigint) shared_chars, shared_lines, round(shared_chars / length(text), 6) share from documents join (select doc_id, sum(len) shared_chars, count(*) shared_lines from ({ranked}) where rn > 1 group by 1) using (doc_id)",
+    }
