@@ -27,7 +27,8 @@ def found(spark, rows, **parameters):
 
 def test_registered(spark):
     assert "p5_found" in __spark_entry__.queries()
-    df = __spark_entry__.entry(spark)
+    assert __spark_entry__.entry(spark).count() > 0
+    df = __spark_entry__.queries()["p5_found"](spark, "/root/testdata/sf0.001")
     assert df.columns == ["metric_id"]
     ids = [r.metric_id for r in df.collect()]
     assert ids and len(ids) == len(set(ids))
