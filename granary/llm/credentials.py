@@ -84,6 +84,8 @@ def named_for(name: str) -> str:
     if last in _NOUNS or "".join(parts[-2:]) in ("apikey", "passwort"):
         return "" if parts[0] in ("public", "next", "csrf") and last not in ("password", "secret") else "sure"
     if last == "key":
+        if name[-1].isdigit():
+            return "sure"
         return "sure" if len(parts) > 1 and parts[-2] in _KEY_KINDS else "" if len(parts) > 1 else "maybe"
     return ""
 
@@ -145,8 +147,7 @@ def find(text: str, path: str = "") -> list[Finding]:
             found[m.start()] = Finding(line(m.start()), "private key", (m.span(1),))
     if ".env" in path.rpartition("/")[2]:
         _in_env(text, add)
-    else:
-        _in_code(text, add)
+    _in_code(text, add)  # of dotenv files too: an issue's code may be a line of its own
     return sorted(found.values())
 
 
@@ -191,10 +192,19 @@ def _in_comment(text: str, start: int, end: int, add) -> None:
             add("comment", [(at, to)])
 
 
-def _in_code(text: str, add) -> None:
-    tokens = [(m.lastgroup, m.start(), m.end()) for m in _LEX.finditer(text)]
+def _in_code(text: str, add, begin: int = 0, stop: int | None = None) -> None:
+    stop = len(text) if stop is None else stop
+    tokens = [(m.lastgroup, m.start(), m.end()) for m in _LEX.finditer(text, begin, stop)]
     n = len(tokens)
     for i, (kind, start, end) in enumerate(tokens):
+        # where a quotation or comment is never closed it swallows code, and code and quotations change places behind it
+        if (kind == "template" or kind == "comment" and text[start] != "/" or kind == "comment" and text[start : start + 2] == "/*" and not text.endswith("*/", start, end)) and "\n" in text[start:end]:
+            at = start + 1
+            while at < end:
+                to = text.find("\n", at, end)
+                to = end if to < 0 else to
+                _in_code(text, add, at, to)
+                at = to + 1
         if kind == "comment":
             _in_comment(text, start, end, add)
         elif kind in ("string", "template"):
