@@ -5,26 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.functions.lineage import cut
 
-def retention_paths(starts: DataFrame, edges: DataFrame, roots: DataFrame, *, max_steps: int = 16) -> DataFrame:
+
+def retention_paths(starts: DataFrame, edges: DataFrame, roots: DataFrame, *, max_steps: int = 64) -> DataFrame:
     """(object_id, path): every simple path from a start up over reversed edges to a root; path begins with the root.
 
     starts and roots have object_id, edges source_id and target_id.  A vertex that is no root and has no edge into it
-    ends without a path.  The frontier, not the graph, grows from step to step, and ends by itself: paths still open
+    ends without a path; nulls are no vertices.  Each step joins the open paths, not the graph, with the edges; it is
+    computed once and kept in the shared folder, and the walk ends when no path is open.  Paths that are still open
     after ``max_steps`` steps raise an error, they are never cut off silently.
     """
     step = edges.select(F.col("target_id").alias("_at"), F.col("source_id").alias("_up")).distinct()
     root = roots.select(F.col("object_id").alias("_up"), F.lit(True).alias("_root")).distinct()
-    ends = starts.select("object_id").distinct().join(roots.select("object_id").distinct(), "object_id", "left_semi").select("object_id", F.array("object_id").alias("path"))
-    open_ = starts.select("object_id").distinct().join(roots.select("object_id").distinct(), "object_id", "left_anti").select("object_id", F.col("object_id").alias("_at"), F.array("object_id").alias("path"))
-    found = ends
-    for _ in range(max_steps):
+    first = starts.select("object_id").filter("object_id is not null").distinct()
+    walked = first.join(root, first["object_id"] == root["_up"], "left").select("object_id", F.col("object_id").alias("_at"), F.array("object_id").alias("path"), F.coalesce("_root", F.lit(False)).alias("_root"))
+    found = []
+    for _ in range(max_steps + 1):
+        walked = cut(walked)
+        found.append(walked.filter("_root").select("object_id", "path"))
+        open_ = walked.filter("not _root").drop("_root")
+        if open_.isEmpty():
+            break
         walked = open_.join(step, "_at").filter(~F.array_contains("path", F.col("_up"))).join(root, "_up", "left")
         walked = walked.select("object_id", F.col("_up").alias("_at"), F.concat(F.array("_up"), "path").alias("path"), F.coalesce("_root", F.lit(False)).alias("_root"))
-        found = found.union(walked.filter("_root").select("object_id", "path"))
-        open_ = walked.filter("not _root").drop("_root")
-    error = F.raise_error(F.lit(f"paths of more than {max_steps} steps: raise max_steps"))
-    return found.union(open_.select("object_id", F.when(error.isNull(), F.col("path")).alias("path")))
+    else:
+        raise ValueError(f"paths of more than {max_steps} steps: raise max_steps")
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
 
 
 def tree_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
