@@ -9,6 +9,7 @@ kind ``error``, so a failure is a row and never an exception.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -43,6 +44,7 @@ def nodes_of(x: Lexer) -> list[tuple]:
     tokens, starts, text = x.tokens, x.starts, x.text
     stack: list[tuple[str, int, bool, bool]] = []  # open bracket: kind, scope, guarded, looped
     scope, guarded, looped = -1, False, False
+    last_function = -1
     pending = ""  # what the next block belongs to
     element: list[int] = []
     for i, t in enumerate(tokens):
@@ -61,6 +63,7 @@ def nodes_of(x: Lexer) -> list[tuple]:
                 stack.append(("call:" + name.rpartition(".")[2], scope, guarded, looped))
             else:
                 if prev == "KEY":
+                    last_function = len(out)
                     out.append(("function", _word(text, starts[i - 1]), "method", starts[i - 1], scope, guarded, looped))
                     pending = "function"
                 stack.append(("(", scope, guarded, looped))
@@ -73,8 +76,7 @@ def nodes_of(x: Lexer) -> list[tuple]:
             stack.append(("LB", scope, guarded, looped))
             if pending == "function":
                 each = any(k.startswith("call:") and k[5:] in _EACH for k, *_ in stack[-3:])
-                scope, guarded, looped = max((k for k in range(len(out) - 1, -1, -1) if out[k][0] == "function"), default=len(out)), False, looped if each else False
-                looped = looped or each
+                scope, guarded, looped = last_function, False, each
             elif pending == "guard":
                 guarded = True
             elif pending == "loop":
@@ -107,9 +109,9 @@ def nodes_of(x: Lexer) -> list[tuple]:
         elif t in ("JSLASH", "JLTS") and element:
             element.pop()
         elif t == "IDENT" and prev in ("FUNCTION", "CLASS") or t == "IDENT" and prev == "*" and i > 1 and tokens[i - 2] == "FUNCTION":
+            if prev != "CLASS":
+                last_function = len(out)
             out.append(("class" if prev == "CLASS" else "function", _word(text, starts[i]), "", starts[i], scope, guarded, looped))
-        elif t == "AID" or t == "ALP" and prev == "=":
-            pass
     return out
 
 
@@ -125,9 +127,10 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             mine = [j for j in jobs if j[1] == typed]
             for (file_id, _, text, offset, x), bad in zip(mine, parse_all([j[4] for j in mine], tables(typed)), strict=True):
                 found = nodes_of(x) if bad < 0 else [("error", "", "", x.starts[bad], -1, False, False)]
+                breaks = [-1, *(m.start() for m in re.finditer("\n", text))]
                 for no, (kind, name, value, at, scope, guarded, looped) in enumerate(found):
-                    at += offset
-                    rows.append((file_id, no, kind, name, value, text.count("\n", 0, at) + 1, at - text.rfind("\n", 0, at), scope, guarded, looped))
+                    line = bisect_left(breaks, at + offset)
+                    rows.append((file_id, no, kind, name, value, line, at + offset - breaks[line - 1], scope, guarded, looped))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
 

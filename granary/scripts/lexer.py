@@ -20,6 +20,7 @@ _REGEX = re.compile(r"/(?![*/])((?:[^/\\\[\r\n]|\\[^\r\n]|\[(?:[^\]\\\r\n]|\\[^\
 _MARK = re.compile(r">>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|[{}()\[\];,<>+\-*/%&|^!~?:=.@#]")
 _JNAME = re.compile(r"[^\W\d][\w$-]*|\$[\w$-]*")
 _JTEXT = re.compile(r"[^<{>}]+")
+_JCLOSE = re.compile(r"<\s*/\s*([\w$.:-]*)\s*>")
 _JSTRING = re.compile(r"\"[^\"]*\"|'[^']*'")
 _TARGS = re.compile(r"&&|\|\||=>|==|\"[^\"\n]*\"|'[^'\n]*'|[\w$.,\s?:;\-]+|[|&]|[<>()\[\]{}=]|.", re.S)
 
@@ -62,7 +63,7 @@ class Lexer:
         self.line_before: list[int] = []
         self.starts: list[int] = []
         self.stack: list[list] = []  # [kind, index of the opening token, flag, pending = of keys]
-        self.returns: list[tuple[int, int, int]] = []  # parentheses with a colon behind them, of typed arrow functions perhaps
+        self.returns: dict[int, tuple[int, int]] = {}  # per depth the last parenthesis with a colon behind it, a typed arrow function's perhaps
         self.angles: dict[int, int] = {}  # open type arguments by depth of brackets
         self.closers: set[int] = set()  # offsets of > that close type arguments
         self.classes: list[tuple[int, str]] = []  # (depth, kind of body) of headers whose body is still to come
@@ -151,7 +152,7 @@ class Lexer:
                 self._put("LIT", pos, line)
                 pos = m.end()
             elif c == "<" and self.elements and not self._ended(prev) and not (self.typed and re.match(r"<\s*[\w$]+\s*(?:,|extends\s)", text[pos : pos + 80])):
-                pos = self._element(pos, line)
+                pos = self._elements(self._element(pos, line))
             else:
                 pos = self._mark(pos, prev, line)
         self._put("EOF", n, 1)
@@ -281,13 +282,31 @@ class Lexer:
         return end + 2
 
     def _element(self, pos: int, line: int) -> int:
-        """From ``<`` to the end of an opening tag's attributes or of the element; expressions in braces go back to the main loop."""
+        """``<`` of an element."""
         self._put("JLT", pos, line)
         self.stack.append(["t", len(self.tokens) - 1, False, []])
-        return self._tag(pos + 1)
+        return pos + 1
+
+    def _elements(self, pos: int) -> int:
+        """Through tags and children until an expression in braces begins or the outermost element has ended."""
+        while self.stack:
+            kind = self.stack[-1][0]
+            if kind == "t":
+                pos = self._tag(pos)
+            elif kind == "c":
+                pos = self._children(pos)
+            else:
+                break
+        return pos
+
+    def _close(self, pos: int) -> int:
+        self._put("JGT", pos, 0)
+        self.stack.pop()
+        self.closed_object = True
+        return pos + 1
 
     def _tag(self, pos: int) -> int:
-        """Inside an opening tag; returns behind it and, if nothing is open, behind the element."""
+        """Inside an opening tag, until something opens or closes."""
         text = self.text
         while True:
             m = _SKIP.match(text, pos)
@@ -315,69 +334,51 @@ class Lexer:
                 return pos + 1
             elif c == "/":
                 self._put("JSLASH", pos, 0)
-                pos += 1
-                m = _SKIP.match(text, pos)
-                pos = m.end() if m else pos
+                m = _SKIP.match(text, pos + 1)
+                pos = m.end() if m else pos + 1
                 if text[pos : pos + 1] != ">":
                     raise _Bad(pos)
-                self._put("JGT", pos, 0)
-                self.stack.pop()
-                return self._behind(pos + 1)
+                return self._close(pos)
             elif c == ">":
                 self._put("JGT", pos, 0)
                 self.stack[-1][0] = "c"
-                return self._children(pos + 1)
+                return pos + 1
             elif c == "<" and self.tokens[-1] == "=":
                 return self._element(pos, 0)
             else:
                 raise _Bad(pos)
 
     def _children(self, pos: int) -> int:
+        """Between tags, until something opens or closes."""
         text = self.text
-        while True:
-            m = _JTEXT.match(text, pos)
-            if m:
-                self._put("JTEXT", pos, 0)
-                pos = m.end()
-            c = text[pos : pos + 1]
-            if not c or c in ">}":
-                raise _Bad(pos)
-            if c == "{":
-                self._put("JB", pos, 0)
-                self.stack.append(["J", len(self.tokens) - 1, False, []])
-                return pos + 1
-            m = re.compile(r"<\s*/\s*([\w$.:-]*)\s*>").match(text, pos)
-            if not m:
-                if text.startswith("</", pos):
-                    raise _Bad(pos)
-                return self._element(pos, 0)
-            self._put("JLTS", pos, 0)
-            if m[1] != self._tag_name(self.stack[-1][1]):
+        m = _JTEXT.match(text, pos)
+        if m:
+            self._put("JTEXT", pos, 0)
+            pos = m.end()
+        c = text[pos : pos + 1]
+        if not c or c in ">}":
+            raise _Bad(pos)
+        if c == "{":
+            self._put("JB", pos, 0)
+            self.stack.append(["J", len(self.tokens) - 1, False, []])
+            return pos + 1
+        m = _JCLOSE.match(text, pos)
+        if not m:
+            if text.startswith("</", pos):
                 raise _Bad(pos)
-            for k, part in enumerate(re.split(r"([.:])", m[1])):
-                if part:
-                    self._put(part if k % 2 else "JNAME", pos + 1, 0)
-            self._put("JGT", m.end() - 1, 0)
-            self.stack.pop()
-            return self._behind(m.end())
+            return self._element(pos, 0)
+        self._put("JLTS", pos, 0)
+        if m[1] != self._tag_name(self.stack[-1][1]):
+            raise _Bad(pos)
+        for k, part in enumerate(re.split(r"([.:])", m[1])):
+            if part:
+                self._put(part if k % 2 else "JNAME", pos + 1, 0)
+        return self._close(m.end() - 1)
 
     def _tag_name(self, opened: int) -> str:
         m = re.compile(r"<\s*([\w$.:-]*)").match(self.text, self.starts[opened])
         return m[1]
 
-    def _behind(self, pos: int) -> int:
-        """Behind an element: back among children or attributes, or out into the script."""
-        inside = self.stack[-1][0] if self.stack else ""
-        if inside == "c":
-            return self._children(pos)
-        if inside == "t":
-            return self._tag(pos)
-        self.closed_object = True
-        self.element_ended = len(self.tokens)
-        return pos
-
-    element_ended = -1
-
     # marks
 
     def _mark(self, pos: int, prev: str, line: int) -> int:
@@ -398,8 +399,7 @@ class Lexer:
                 return self._template(end, "TPLM", pos, line)
             self._put("}", pos, line)
             if kind == "J":
-                inside = stack[-1][0]
-                return self._tag(end) if inside == "t" else self._children(end)
+                return self._elements(end)
             self.closed_object = kind == "O"
             if pending:
                 self._settle(flag or bool(_TARGET.match(text, end)), pending)
@@ -428,7 +428,7 @@ class Lexer:
                 at = after.end() if after else end
                 self._settle(flag or text.startswith("=>", at), pending)
                 if self.typed and kind == "(" and text.startswith(":", at):
-                    self.returns.append((len(stack), opened, len(tokens) - 1))
+                    self.returns[len(stack)] = opened, len(tokens) - 1
         elif mark == "[":
             self._put("[", pos, line)
             stack.append(["[", len(tokens) - 1, prev == "VAR", []])
@@ -570,15 +570,11 @@ class Lexer:
         elif tokens and tokens[-1] == "IDENT" and not (self.typed and self._returned()):
             head = len(tokens) - 1
             tokens[head] = "AID"
-        if head < 0 or self.typed and self._returned():
-            depth = len(self.stack)
-            while self.returns:
-                level, opened, closed = self.returns.pop()
-                if level == depth and not any(t in (";", "=") for t in tokens[closed + 1 :]):
-                    if tokens[opened] == "(":
-                        tokens[opened] = "ALP"
-                        head = opened
-                    break
+        if self.typed and self._returned():
+            opened, _ = self.returns.pop(len(self.stack), (-1, -1))
+            if opened >= 0 and tokens[opened] == "(":
+                tokens[opened] = "ALP"
+                head = opened
         before = head - 1
         if before >= 0 and tokens[before] == "TGT":
             nesting = 0
@@ -592,24 +588,19 @@ class Lexer:
         self._put("=>", pos, line)
 
     def _returned(self) -> bool:
-        """A parenthesis with a colon behind it waits for its arrow at this depth."""
-        tokens = self.tokens
-        for level, opened, closed in reversed(self.returns):
-            if level == len(self.stack) and tokens[opened] == "(":
-                return not any(t in (";", "=", ",", "=>", "LB") for t in self._flat(closed + 1))
-        return False
-
-    def _flat(self, start: int) -> list[str]:
-        """Tokens from ``start`` on that stand in no bracket of their own."""
-        out, depth = [], 0
-        for t in self.tokens[start:]:
-            if t in ("}", ")", "]", "TGT"):
-                depth -= 1
-            if depth == 0:
-                out.append(t)
-            if t in ("OB", "LB", "(", "[", "TLT", "ALP"):
-                depth += 1
-        return out
+        """A parenthesis with a colon behind it waits for its arrow at this depth: behind it there is only a type."""
+        opened, closed = self.returns.get(len(self.stack), (-1, -1))
+        if opened < 0 or self.tokens[opened] != "(":
+            return False
+        depth = 0
+        for i in range(closed + 1, len(self.tokens)):
+            t = self.tokens[i]
+            depth -= t in ("}", ")", "]", "TGT")
+            if depth < 0 or depth == 0 and t in (";", "=", ",", "=>", "LB"):
+                del self.returns[len(self.stack)]
+                return False
+            depth += t in ("OB", "LB", "(", "[", "TLT", "ALP")
+        return True
 
     def _arguments(self, pos: int, prev: str) -> bool:
         """``<`` opens type arguments or parameters: types and marks of types up to its ``>``, and behind that no operand."""

@@ -49,6 +49,37 @@ def json_error(text: str) -> int | None:
     return None
 
 
+#: below so many files side by side, one at a time is faster
+_FEW = 24
+#: entries of a stack that grows side by side with others
+_DEEP = 2048
+
+
+def _one(table: Tables, lists: dict, token: list[int], may_end: list[bool], pos: int, stack: list[int], waiting: bool) -> int:
+    """Goes on with one file from any state of ``parse_all``; place of the error or -1."""
+    if not lists:
+        lists.update(action=table.action.tolist(), goto=table.goto.tolist(), length=table.rule_length.tolist(), left=table.rule_left.tolist())
+    action, goto, length, left, asi = lists["action"], lists["goto"], lists["length"], lists["left"], table.terminals["ASI"]
+    while True:
+        act = action[stack[-1]][asi if waiting else token[pos]]
+        if act > 0:
+            stack.append(act - 1)
+            if waiting:
+                waiting = False
+            else:
+                pos += 1
+        elif act == Tables.ACCEPT:
+            return -1
+        elif act < 0:
+            if length[-act]:
+                del stack[-length[-act] :]
+            stack.append(goto[stack[-1]][left[-act]])
+        elif waiting or not may_end[pos]:
+            return pos
+        else:
+            waiting = True
+
+
 def parse_all(lexed: list[Lexer], table: Tables) -> np.ndarray:
     """For each token list the index of the first token that can't stand where it does, or -1."""
     n = len(lexed)
@@ -63,12 +94,18 @@ def parse_all(lexed: list[Lexer], table: Tables) -> np.ndarray:
     line = np.concatenate([np.array(x.line_before, bool) for x in lexed])
     may_end = line | (token == number["}"]) | (token == number["EOF"])
     asi, action, goto = number["ASI"], table.action, table.goto
+    lists: dict = {}
     # files of similar length side by side
     for group in np.array_split(np.argsort(lengths, kind="stable"), max(1, n // 4000)):
         live = group
         pos, top = begin[live].copy(), np.zeros(len(live), np.int64)
         stack = np.zeros((len(live), 256), np.int16)
         waiting = np.zeros(len(live), bool)  # a statement end was put in and isn't read yet
+        if len(live) <= _FEW:
+            for i in live.tolist():
+                a, b = int(begin[i]), int(begin[i] + lengths[i])
+                error[i] = _one(table, lists, token[a:b].tolist(), may_end[a:b].tolist(), 0, [0], False)
+            continue
         while len(live):
             for _ in range(64):
                 row = np.arange(len(live))
@@ -97,9 +134,17 @@ def parse_all(lexed: list[Lexer], table: Tables) -> np.ndarray:
                     error[live[failed]] = pos[failed] - begin[live[failed]]
                     keep = ~done
                     live, pos, top, stack, waiting = live[keep], pos[keep], top[keep], stack[keep], waiting[keep]
+                # few files left, or one nested so deeply that the others' stacks would grow with its own
+                full = top + 2 > stack.shape[1]
+                alone = np.ones(len(live), bool) if len(live) <= _FEW else full & (stack.shape[1] >= _DEEP)
+                if alone.any():
+                    for k in alone.nonzero()[0].tolist():
+                        a, b = int(begin[live[k]]), int(begin[live[k]] + lengths[live[k]])
+                        error[live[k]] = _one(table, lists, token[a:b].tolist(), may_end[a:b].tolist(), int(pos[k]) - a, stack[k, : top[k] + 1].tolist(), bool(waiting[k]))
+                    live, pos, top, stack, waiting = live[~alone], pos[~alone], top[~alone], stack[~alone], waiting[~alone]
                     if not len(live):
                         break
-                if len(live) and top.max() + 2 > stack.shape[1]:
+                elif full.any():
                     stack = np.concatenate([stack, np.zeros_like(stack)], axis=1)
     return error
 
