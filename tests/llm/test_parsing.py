@@ -84,7 +84,7 @@ def plain(tokens, line_before, table):
 @pytest.mark.parametrize("typed", [False, True])
 def test_side_by_side_equals_one_by_one(typed):
     texts = [t for e, all_ in [*GOOD.items(), *BAD.items()] for t in all_ if e in SCRIPTS and SCRIPTS[e][0] == typed]
-    texts += ["f(" * 300 + ")" * 300, "f(" * 300 + ")" * 299]
+    texts += ["f(" * 300 + ")" * 300, "f(" * 300 + ")" * 299, "f(" * 3000 + ")" * 3000, "x = [" * 3000 + "1" + "]" * 2999] + ["a(b);\n" * k for k in range(60)]
     lexed = [Lexer(t, typed, True) for t in texts]
     assert parse_all(lexed, tables(typed)).tolist() == [plain(x.tokens, x.line_before, tables(typed)) for x in lexed]
 
