@@ -17,6 +17,8 @@ both sides, so that no Python task holds a whole unbounded series, however its r
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -75,23 +77,23 @@ def _one_way(values: list[float], q: float, r: float, drift: float, threshold: f
     level, var = _level_at(values[: 2 * max_spike + 1], drift) - drift, r
     held: list[int] = []
     scores: list[float] = []
+    bound = threshold * threshold
     i = 0
     while i < n:
-        v = values[i]
         level += drift
+        innovation = values[i] - level
         prior = var + q
         s = prior + r
-        z = abs(v - level) / s**0.5
-        if z < threshold:
+        if innovation * innovation < bound * s:
             if held:
                 score[held] = scores
                 held, scores = [], []
             gain = prior / s
-            level += gain * (v - level)
-            var = (1 - gain) * prior
+            level += gain * innovation
+            var = gain * r
         else:
             held.append(i)
-            scores.append(z)
+            scores.append(abs(innovation) / s**0.5)
             var = prior
             if len(held) > max_spike:  # it does not return: a lasting change of level; go on from the new one
                 i = held[0]
@@ -158,16 +160,11 @@ def vanishing_variance(x: np.ndarray, min_run: int) -> tuple[np.ndarray, np.ndar
     return np.cumsum(stuck)[:n] > 0, moves
 
 
-def score_series(pdf: pd.DataFrame, limits: dict[str, tuple[float, float]], threshold: float, max_spike: int, min_run: int) -> pd.DataFrame:
-    """Candidates of one block of one series (columns metric_id, source, metric_name, ts, metric_value, own, begins).
+def score_block(x: np.ndarray, own: np.ndarray, begins: bool, name: str | None, limits: dict[str, tuple[float, float]], threshold: float, max_spike: int, min_run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[int, int, int, int]]:
+    """(bad, stuck, score) of one block of one series in order, and its own steps' counts.
 
-    One row more, without metric_id, counts the block's own steps: ``equal`` and ``steps`` outside the long runs,
-    ``changes`` (short runs) and ``runs`` (long ones that begin here).
+    ``equal`` and ``steps`` are outside the long runs, ``changes`` are short runs, ``runs`` long ones that begin here.
     """
-    pdf = pdf.sort_values(["ts", "metric_id"], kind="stable")
-    x = pdf["metric_value"].to_numpy(float)
-    own = pdf["own"].to_numpy(bool)
-    name = pdf["metric_name"].iloc[0]
     low, high = limits.get(name, (0.0, float("inf")))
     bad = ~np.isfinite(x) | (x < low) | (x > high)
     # the filter runs over all finite readings: a reading outside the limits is one of the withheld ones
@@ -176,18 +173,48 @@ def score_series(pdf: pd.DataFrame, limits: dict[str, tuple[float, float]], thre
     long, starts = vanishing_variance(y, min_run)
     stuck, score = np.zeros(len(x), bool), np.zeros(len(x))
     stuck[ok] = long & (name not in SELDOM_CHANGING)
-    score[ok] = kalman_spikes(y, threshold, max_spike, starts | ~stuck[ok], bool(pdf["begins"].any()))
-    keep = (bad | stuck | (score > 0)) & own
-    out = pdf.loc[keep, ["metric_id", "source", "metric_name", "metric_value"]].copy()
-    out["bad"], out["stuck"], out["score"] = bad[keep], stuck[keep], score[keep]
+    score[ok] = kalman_spikes(y, threshold, max_spike, starts | ~stuck[ok], begins)
     mine = own[ok]
-    counts = {"equal": mine & ~long & ~starts, "steps": mine & ~long, "changes": mine & ~long & starts, "runs": mine & long & starts}
-    total = pdf[["metric_id", "source", "metric_name", "metric_value"]].iloc[:1].copy()
-    total["metric_id"] = None
-    total["bad"], total["stuck"], total["score"] = False, False, 0.0
-    for k, v in counts.items():
-        out[k], total[k] = 0, int(v.sum())
-    return pd.concat([out, total]).astype({"metric_id": "Int64"}) if len(out) else total
+    short = mine & ~long
+    return bad, stuck, score, (int((short & ~starts).sum()), int(short.sum()), int((short & starts).sum()), int((mine & long & starts).sum()))
+
+
+def score_blocks(batches: Iterator[pd.DataFrame], limits: dict[str, tuple[float, float]], threshold: float, max_spike: int, min_run: int) -> Iterator[pd.DataFrame]:
+    """Candidates of all blocks of a partition that is sorted by source, metric_name, block, ts and metric_id.
+
+    A block may go on in the next batch; nothing else is held.  Of every block one row more, without metric_id, counts
+    its own steps.
+    """
+    keys = ["source", "metric_name", "block"]
+
+    def score(pdf: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
+        ids, x, own, begins = pdf["metric_id"].to_numpy(np.int64), pdf["metric_value"].to_numpy(float), pdf["own"].to_numpy(bool), pdf["begins"].to_numpy(bool)
+        sources, names = pdf["source"].to_numpy(object), pdf["metric_name"].to_numpy(object)
+        rows: list[tuple] = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            source, name = sources[a], names[a]
+            bad, stuck, scores, counts = score_block(x[a:b], own[a:b], bool(begins[a:b].any()), name, limits, threshold, max_spike, min_run)
+            for k in np.flatnonzero((bad | stuck | (scores > 0)) & own[a:b]).tolist():
+                rows.append((int(ids[a + k]), source, name, x[a + k], bool(bad[k]), bool(stuck[k]), float(scores[k]), 0, 0, 0, 0))
+            rows.append((None, source, name, None, False, False, 0.0, *counts))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in BLOCK_SCHEMA.split(", ")]).astype({"metric_id": "Int64"})
+
+    rest: pd.DataFrame | None = None
+    for pdf in batches:
+        if rest is not None:
+            pdf = pd.concat([rest, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        change = np.zeros(len(pdf), bool)
+        for key in keys:
+            v = pd.factorize(pdf[key])[0]  # nulls are a value of their own
+            change[1:] |= v[1:] != v[:-1]
+        cuts = np.concatenate([[0], np.flatnonzero(change)])
+        if len(cuts) > 1:
+            yield score(pdf, cuts)
+        rest = pdf.iloc[cuts[-1] :]
+    if rest is not None and len(rest):
+        yield score(rest.reset_index(drop=True), np.array([0, len(rest)]))
 
 
 def implausible_readings(
@@ -229,10 +256,11 @@ def implausible_readings(
     rows = ranked.withColumn("_own", block(0)).select("_series.*", "metric_id", "ts", "metric_value", "_own", (F.col("rank") == 0).alias("begins"), F.explode(uses).alias("block"))
     rows = rows.select(*key, "metric_id", "ts", "metric_value", "begins", "block", (F.col("block") == F.col("_own")).alias("own"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return score_series(pdf, limits, threshold, max_spike, min_run)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return score_blocks(batches, limits, threshold, max_spike, min_run)
 
-    found = rows.groupBy(*key, "block").applyInPandas(run, BLOCK_SCHEMA)
+    rows = rows.select("metric_id", *key, "block", "ts", "metric_value", "own", "begins").repartition(*key, "block").sortWithinPartitions(*key, "block", "ts", "metric_id")
+    found = rows.drop("ts").mapInPandas(run, BLOCK_SCHEMA)
     # what is normal for the series: its steps outside the long runs, over all its blocks
     series = Window.partitionBy(*key)
     found = found.select("*", *[F.sum(c).over(series).alias(f"_{c}") for c in ("equal", "steps", "changes", "runs")])
