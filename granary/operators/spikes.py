@@ -271,10 +271,13 @@ def implausible_readings(
 
 
 def series_health(flags: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Per metric_name: readings, distinct series, and the flagged readings by reason (nulls counted apart)."""
-    distinct = metrics.dropDuplicates(["metric_id"])
-    totals = distinct.groupBy("metric_name").agg(F.count("*").alias("readings"), F.count("metric_value").alias("present"), F.countDistinct("source").alias("sources"))
-    found = flags.groupBy("metric_name").agg(*[F.sum(F.when(F.col("reason") == r, 1).otherwise(0)).alias(r) for r in ("limit", "spike", "stuck")])
-    return totals.join(found, "metric_name", "left").fillna(0, ["limit", "spike", "stuck"])
-
+    """Per metric_name: readings, those with a value, distinct series, and the flagged ones by reason.
 
+    A null metric_name is a name of its own; rows without metric_id are no readings; repeated rows count once.
+    """
+    once = metrics.filter("metric_id is not null").groupBy("metric_id").agg(F.min(F.struct("metric_name", "source", "metric_value")).alias("r")).select("r.*")
+    totals = once.groupBy("metric_name").agg(F.count("*").alias("readings"), F.count("metric_value").alias("present"), F.countDistinct("source").alias("sources"))
+    reasons = ("limit", "spike", "stuck")
+    found = flags.groupBy(F.col("metric_name").alias("_name")).agg(*[F.count_if(F.col("reason") == r).alias(r) for r in reasons])
+    joined = totals.join(found, F.col("metric_name").eqNullSafe(F.col("_name")), "left").drop("_name")
+    return joined.fillna(0, list(reasons))

@@ -127,3 +127,12 @@ def test_spike_at_the_start_and_short_series(spark):
     rows = series(x) + series(short, 1001, source="b")
     assert found(spark, rows) == {1: "spike", 2: "spike", 1006: "limit"}
     assert found(spark, rows, block_rows=50, halo_rows=40) == {1: "spike", 2: "spike", 1006: "limit"}
+
+
+def test_health_keeps_nameless_series(spark):
+    from granary.operators.spikes import series_health
+
+    m = spark.createDataFrame([(1, "s", None, 1.0), (1, "s", None, 1.0), (2, "s", None, None), (None, "s", "x", 1.0), (3, "s", "x", -1.0)], "metric_id bigint, source string, metric_name string, metric_value double")
+    flags = spark.createDataFrame([(1, None, "limit"), (3, "x", "limit")], "metric_id bigint, metric_name string, reason string")
+    got = {r.metric_name: (r.readings, r.present, r.sources, r.limit, r.spike) for r in series_health(flags, m).collect()}
+    assert got == {None: (2, 1, 1, 1, 0), "x": (1, 1, 1, 1, 0)}
