@@ -113,13 +113,16 @@ def _fold(run: int, share: float, few: float):
         cell, history, batch = None, History(), None
         for pdf in batches:
             rows = []
-            for c, b, first, file, plain in zip(pdf["_cell"].tolist(), pdf["_batch"].tolist(), pdf["_first"].tolist(), pdf["_file"].tolist(), pdf["_plain"].tolist(), strict=True):
+            for c, b, first, file, plain, known in zip(*(pdf[c].tolist() for c in ("_cell", "_batch", "_first", "_file", "_plain", "_known")), strict=True):
                 if c != cell:
                     cell, history, batch = c, History(), b
                 elif b != batch:
                     history.close_batch()
                     batch = b
                 words = plain.split(" ")
+                if known:
+                    history.accept(first, words, file)
+                    continue
                 kept = history.find(words, file, run, share, few)
                 if kept is None:
                     history.accept(first, words, file)
@@ -150,14 +153,8 @@ def mentioned_names(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(F.transform(inner, F.lower), apis)))
 
 
-def same_defects(reports: DataFrame, *, run: int = 3, share: float = 0.2, few: float = 0.35) -> DataFrame:
-    """(info_id, kept_id) for every report with an id and a description; kept_id = info_id for the first of a defect.
-
-    Reports are taken batch by batch, in the order of info_id.  ``few`` is the share of words that may differ, ``run`` and
-    ``share`` say what a candidate must have in common.  The file is that of loc, else of the stack's first line; a report
-    without any file is of the defect that its wording says.  Null batch numbers count as history (batch 0); null or blank
-    descriptions repeat nothing and are left out, as are null ids; repeated rows count once; other columns are ignored.
-    """
+def _in_cells(reports: DataFrame, spelt_before: DataFrame | None = None) -> DataFrame:
+    """(info_id, _batch, _plain, _file, _cell) of every report with an id and words; spelt_before has names (word) of earlier reports."""
     path = F.coalesce(F.col("loc.file_path"), F.nullif(F.regexp_extract("stack", r"\(([^()]+?):\d+:\d+\)", 1), F.lit("")))
     r = reports.filter("info_id is not null and description is not null")
     r = r.select("info_id", F.coalesce("batch_no", F.lit(0)).alias("_batch"), plain_words(F.col("description")).alias("_plain"), own_path(path).alias("_file"), F.lower(F.trim("component")).alias("_component"), F.col("description").alias("_text"))
@@ -166,7 +163,8 @@ def same_defects(reports: DataFrame, *, run: int = 3, share: float = 0.2, few: f
     r = r.filter("_plain <> ''").withColumn("_shouted", shouted)
     r = r.withColumn("_names", mentioned_names(F.when(F.col("_shouted"), F.lower("_text")).otherwise(F.col("_text")))).drop("_text")
     r = cut(r)
-    spelt = r.filter("not _shouted").select(F.explode("_names").alias("word")).distinct()
+    spelt = r.filter("not _shouted").select(F.explode("_names").alias("word"))
+    spelt = (spelt.union(spelt_before.select("word")) if spelt_before is not None else spelt).distinct()
     lost = r.filter("_shouted")
     words = lost.select("_plain", F.explode(F.array_distinct(F.split("_plain", " "))).alias("word")).distinct()
     names = words.join(spelt, "word", "left_semi").groupBy("_plain").agg(F.collect_set("word").alias("_more"))
@@ -174,19 +172,67 @@ def same_defects(reports: DataFrame, *, run: int = 3, share: float = 0.2, few: f
     more = F.concat("_names", F.coalesce("_more", F.array()), F.array("_component"))
     lost = lost.join(names, "_plain", "left").withColumn("_names", F.array_sort(F.array_distinct(F.array_compact(more)))).drop("_more")
     r = r.filter("not _shouted").unionByName(lost)
-    r = r.select("info_id", "_batch", "_plain", "_file", F.array_join("_names", " ").alias("_cell"))
-    # equal but for volatile details: one row, with its first report
+    return r.select("info_id", "_batch", "_plain", "_file", F.array_join("_names", " ").alias("_cell"))
+
+
+_KEY = ("_cell", "_path", "_plain")
+
+
+def _firsts(r: DataFrame) -> DataFrame:
+    """Reports that are equal but for volatile details: one row, with the first of them."""
+    firsts = r.groupBy("_cell", F.coalesce("_file", F.lit("")).alias("_path"), "_plain").agg(F.min(F.struct("_batch", "info_id")).alias("_f"))
+    return firsts.select("_cell", "_plain", F.nullif("_path", F.lit("")).alias("_file"), F.col("_f._batch").alias("_batch"), F.col("_f.info_id").alias("_first"))
+
+
+def _kept(firsts: DataFrame, known: DataFrame | None, run: int, share: float, few: float) -> DataFrame:
+    """(_first, kept_id): cell by cell and batch by batch against what was accepted before, and against ``known``."""
+    rows = firsts.withColumn("_known", F.lit(False))
+    if known is not None:
+        rows = rows.unionByName(known.withColumn("_known", F.lit(True)))
+    cells = rows.withColumn("_n", F.count("*").over(Window.partitionBy("_cell")))
+    alone = cells.filter("_n = 1 and not _known").select("_first", F.col("_first").alias("kept_id"))
+    several = cells.filter("_n > 1").repartition("_cell").sortWithinPartitions("_cell", F.desc("_known"), "_batch", "_first").select("_cell", "_batch", "_first", "_file", "_plain", "_known")
+    return alone.union(several.mapInPandas(_fold(run, share, few), "_first bigint, kept_id bigint"))
+
+
+def _links(r: DataFrame, firsts: DataFrame, kept: DataFrame) -> DataFrame:
     key = [F.col("_cell"), F.coalesce("_file", F.lit("")).alias("_path"), F.col("_plain")]
-    firsts = r.groupBy(*key).agg(F.min(F.struct("_batch", "info_id")).alias("_f"))
-    firsts = firsts.select("_cell", "_plain", F.nullif("_path", F.lit("")).alias("_file"), F.col("_f._batch").alias("_batch"), F.col("_f.info_id").alias("_first"))
-    cells = firsts.withColumn("_n", F.count("*").over(Window.partitionBy("_cell")))
-    alone = cells.filter("_n = 1").select("_first", F.col("_first").alias("kept_id"))
-    several = cells.filter("_n > 1").repartition("_cell").sortWithinPartitions("_cell", "_batch", "_first").select("_cell", "_batch", "_first", "_file", "_plain")
-    kept = alone.union(several.mapInPandas(_fold(run, share, few), "_first bigint, kept_id bigint"))
-    mine = r.select("info_id", *key).join(firsts.select(*key, "_first"), ["_cell", "_path", "_plain"])
+    mine = r.select("info_id", *key).join(firsts.select(*key, "_first"), list(_KEY))
     return mine.join(kept, "_first").groupBy("info_id").agg(F.min("kept_id").alias("kept_id"))
 
 
+def same_defects(reports: DataFrame, *, run: int = 3, share: float = 0.2, few: float = 0.35) -> DataFrame:
+    """(info_id, kept_id) for every report with an id and a description; kept_id = info_id for the first of a defect.
+
+    Reports are taken batch by batch, in the order of info_id.  ``few`` is the share of words that may differ, ``run`` and
+    ``share`` say what a candidate must have in common.  The file is that of loc, else of the stack's first line; a report
+    without any file is of the defect that its wording says.  Null batch numbers count as history (batch 0); null or blank
+    descriptions repeat nothing and are left out, as are null ids; repeated rows count once; other columns are ignored.
+    """
+    r = _in_cells(reports)
+    firsts = _firsts(r)
+    return _links(r, firsts, _kept(firsts, None, run, share, few))
+
+
+#: Table of accepted reports, one row per defect and wording that no earlier one covers.
+ACCEPTED = "cell string, plain string, file string, batch_no int, info_id bigint"
+
+
+def accept_batch(accepted: DataFrame, reports: DataFrame, *, run: int = 3, share: float = 0.2, few: float = 0.35) -> tuple[DataFrame, DataFrame]:
+    """A new batch against the accepted reports of all earlier ones: ((info_id, kept_id), rows to add to ``accepted``).
+
+    The history itself is not read again, and of ``accepted`` only the cells that the batch touches; append the second
+    table to it (a folder of parquet, say) before the next batch comes.
+    """
+    r = _in_cells(reports, accepted.select(F.explode(F.split("cell", " ")).alias("word")).filter("word <> ''"))
+    firsts = cut(_firsts(r))
+    known = accepted.select(F.col("cell").alias("_cell"), F.col("plain").alias("_plain"), F.col("file").alias("_file"), F.col("batch_no").alias("_batch"), F.col("info_id").alias("_first"))
+    known = known.join(firsts.select("_cell").distinct(), "_cell", "left_semi")
+    kept = cut(_kept(firsts, known, run, share, few))
+    new = firsts.join(kept.filter("_first = kept_id").select("_first"), "_first", "left_semi")
+    return _links(r, firsts, kept), new.select(F.col("_cell").alias("cell"), F.col("_plain").alias("plain"), F.col("_file").alias("file"), F.col("_batch").cast("int").alias("batch_no"), F.col("_first").alias("info_id"))
+
+
 def repeated_reports(reports: DataFrame, **options) -> DataFrame:
     """(kept_id, repeat_id), distinct: reports of a defect that an earlier report has already named."""
     return same_defects(reports, **options).filter("kept_id <> info_id").select("kept_id", F.col("info_id").alias("repeat_id"))

@@ -2,7 +2,7 @@
 
 import pytest
 
-from granary.llm.history import Segment, differing, merged_reports, repeated_reports
+from granary.llm.history import ACCEPTED, Segment, accept_batch, differing, merged_reports, repeated_reports
 
 SCHEMA = """info_id bigint, batch_no int, description string, component string, loc struct<file_path string>, stack string,
     first_detected timestamp, last_detected timestamp, occurrence_count bigint"""
@@ -47,6 +47,19 @@ def test_batches_one_by_one_and_all_at_once_agree(spark):
         assert found(spark, some) == {p for p in whole if p[1] in {r[0] for r in some}}
 
 
+def test_batch_after_batch_against_the_accepted_alone(spark, tmp_path):
+    rows = [row(i, i // 8, c=f"Recent{'ABC'[i % 3]}View", n=i, path=None if i % 5 == 0 else "src/a/x.ts", text=TEXT if i % 2 else TEXT.replace("took", "needed").upper().replace("{C}", "{c}").replace("{F}", "{f}").replace("{A}", "{a}").replace("{N}", "{n}")) for i in range(1, 33)]
+    path = str(tmp_path / "accepted")
+    spark.createDataFrame([], ACCEPTED).write.parquet(path)
+    got = set()
+    for b in range(5):
+        links, new = accept_batch(spark.read.parquet(path), spark.createDataFrame([r for r in rows if r[1] == b], SCHEMA))
+        got |= {(r.kept_id, r.info_id) for r in links.collect() if r.kept_id != r.info_id}
+        new.write.mode("append").parquet(path)
+    assert got == found(spark, rows) and len(got) == 29
+    assert spark.read.parquet(path).count() == 3
+
+
 def test_merged(spark):
     rows = [row(1, 0), row(2, 1, n=5), row(3, 1, c="OtherDriverView")]
     got = {r.kept_id: (r.reports, r.occurrence_count) for r in merged_reports(spark.createDataFrame(rows, SCHEMA)).collect()}
