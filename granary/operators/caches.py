@@ -11,7 +11,7 @@ DAY = 86_400.0
 def priority(hits: Column, idle_seconds: Column, size: Column, age_seconds: Column) -> Column:
     """0 to 1: frequency 0.4, freshness within a day 0.3, smallness below a MiB 0.2 (unknown is small), youth within a week 0.1."""
     zero = F.lit(0.0)
-    return F.least(hits / 10, F.lit(1.0)) * 0.4 + F.greatest(zero, 1 - idle_seconds / DAY) * 0.3 + F.coalesce(F.greatest(zero, 1 - size / 1048576.0), F.lit(1.0)) * 0.2 + F.greatest(zero, 1 - age_seconds / (7 * DAY)) * 0.1
+    return F.least(hits / 10, F.lit(1.0)) * 0.4 + F.greatest(zero, 1 - idle_seconds / DAY) * 0.3 + F.when(size.isNull(), 1.0).otherwise(F.greatest(zero, 1 - size / 1048576.0)) * 0.2 + F.greatest(zero, 1 - age_seconds / (7 * DAY)) * 0.1
 
 
 def expired(entries: DataFrame, now: Column, ttl_seconds: Column) -> DataFrame:
