@@ -490,8 +490,7 @@ def rul20_library_imports(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def rul24_unused_imports(spark: SparkSession, d: str) -> DataFrame:
     """RUL-24, RUL-26: names that are declared and never referenced."""
-    f = _read(spark, d, "source_files")
-    return rules.unused_imports(rules.imports(f), f)
+    return rules.unused_imports(_read(spark, d, "source_files"))
 
 
 @query()

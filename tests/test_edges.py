@@ -64,6 +64,8 @@ def test_text_rules(spark):
     rule = rules.TextRule("r", 2, "eval(").when(rules.contains("eval(")).unless(rules.matches("(?i)safe"))
     df = spark.createDataFrame([(1, "a\n  eval(x)"), (2, "eval(x) // SAFE"), (3, None), (4, "")], "file_id bigint, source_code string")
     assert [tuple(r) for r in rules.findings(df, [rule]).collect()] == [(1, "r", 2, 2, 3, "a\n  eval(x)")]
+    unused = rules.unused_imports(spark.createDataFrame([(1, "import a from 'x';\nimport * as b from 'y';\nimport { c } from 'z';\nb.d()"), (2, None)], "file_id bigint, source_code string"))
+    assert [tuple(r) for r in unused.collect()] == [(1, "x", "a")]
     found = rules.imports(spark.createDataFrame([(1, "import a from 'x/y';\r\nimport b from \"x\";\nimport 'x';\nb()")], "file_id bigint, source_code string"))
     assert {(r.source, r.times) for r in rules.duplicate_imports(found).collect()} == {("x", 2)}
     assert {(r.source, r.library) for r in rules.imports_of(found, spark.createDataFrame([("x", 1)], "library string, kb int")).collect()} == {("x/y", "x"), ("x", "x")}
