@@ -229,7 +229,7 @@ NODE_RULES = {
 
 
 def match_rules(n: DataFrame) -> DataFrame:
-    """(file_id, rule_id, severity, line_no, column_no) of all node rules."""
+    """(file_id, rule_id, severity, line_no, column_no) of all node rules; every rule reads ``n``, so it should be kept (``cut``)."""
     out = None
     for rule_id, (severity, operator) in NODE_RULES.items():
         found = _hit(rule_id, severity, operator(n))

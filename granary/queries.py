@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
+from granary.functions.lineage import cut
 from granary.operators import assets, caches, changes, graphs, issues, measures, nodes, rules
 from granary.operators.spikes import implausible_readings, series_health
 
@@ -851,8 +852,7 @@ def src5_nodes(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def rul13_node_rules(spark: SparkSession, d: str) -> DataFrame:
     """RUL-8, RUL-9, RUL-11, RUL-13 to RUL-19, RUL-23, RUL-25 to RUL-27, RUL-29, JOI-12, UDF-2: rules on nodes, parsed once."""
-    n = nodes.nodes(_read(spark, d, "source_files")).persist()
-    return nodes.match_rules(n)
+    return nodes.match_rules(cut(nodes.nodes(_read(spark, d, "source_files"))))
 
 
 # more rules, features and reports
