@@ -136,3 +136,9 @@ def test_health_keeps_nameless_series(spark):
     flags = spark.createDataFrame([(1, None, "limit"), (3, "x", "limit")], "metric_id bigint, metric_name string, reason string")
     got = {r.metric_name: (r.readings, r.present, r.sources, r.limit, r.spike) for r in series_health(flags, m).collect()}
     assert got == {None: (2, 1, 1, 1, 0), "x": (1, 1, 1, 1, 0)}
+
+
+def test_block_size_changes_nothing(spark):
+    m = spark.read.parquet("/root/testdata/sf0.01/metrics.parquet").filter("source in ('collector-main')")
+    rows = [{(r.metric_id, r.reason) for r in implausible_readings(m, block_rows=b).select("metric_id", "reason").collect()} for b in (300, 20_000)]
+    assert rows[0] == rows[1] and rows[0]
