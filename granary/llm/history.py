@@ -72,13 +72,12 @@ def differing(a: list[str], b: list[str], limit: int) -> int:
     return row[-1]
 
 
-class History:
-    """Accepted records of one cell, in segments whose sizes at least halve from one to the next."""
+class Accepted:
+    """Accepted records, in segments whose sizes at least halve from one to the next."""
 
     def __init__(self) -> None:
         self.segments: list[Segment] = []
         self.batch: list[tuple[int, list[str]]] = []
-        self.files: dict[int, str | None] = {}
 
     def close_batch(self) -> None:
         if self.batch:
@@ -88,24 +87,35 @@ class History:
             last = self.segments.pop()
             self.segments.append(Segment(self.segments.pop().records + last.records))
 
+    def find(self, words: list[str], run: int, share: float, limit: int) -> int | None:
+        """The earliest record that differs in at most ``limit`` words."""
+        candidates = list(self.batch)  # not yet a segment
+        for segment in self.segments:
+            candidates += [segment.records[no] for no, n in segment.coverage(words, run).items() if n >= share * len(words)]
+        return min((record for record, theirs in candidates if differing(words, theirs, limit) <= limit), default=None)
+
+
+class History:
+    """Accepted records of one cell by their file: a record is held against those of its own file and of none."""
+
+    def __init__(self) -> None:
+        self.by_file: dict[str | None, Accepted] = {}
+        self.touched: set[str | None] = set()
+
+    def close_batch(self) -> None:
+        for file in self.touched:
+            self.by_file[file].close_batch()
+        self.touched.clear()
+
     def find(self, words: list[str], file: str | None, run: int, share: float, few: float) -> int | None:
-        """The earliest accepted record of the same defect."""
+        """The earliest accepted record of the same defect; without a file it may be any file's."""
         limit = max(1, int(few * len(words)))
-        found: list[int] = []
-        candidates: list[tuple[int, list[str]]] = []
-        for segment in self.segments:
-            covered = segment.coverage(words, run)
-            candidates += [segment.records[no] for no, n in covered.items() if n >= share * len(words)]
-        candidates += self.batch  # not yet a segment
-        for record, theirs in candidates:
-            known = self.files[record]
-            if (file is None or known is None or file == known) and differing(words, theirs, limit) <= limit:
-                found.append(record)
-        return min(found, default=None)
+        places = self.by_file.values() if file is None else [self.by_file[f] for f in (file, None) if f in self.by_file]
+        return min((record for place in places if (record := place.find(words, run, share, limit)) is not None), default=None)
 
     def accept(self, record: int, words: list[str], file: str | None) -> None:
-        self.batch.append((record, words))
-        self.files[record] = file
+        self.by_file.setdefault(file, Accepted()).batch.append((record, words))
+        self.touched.add(file)
 
 
 def _fold(run: int, share: float, few: float):
