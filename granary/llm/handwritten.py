@@ -41,6 +41,8 @@ _NOTICE = re.compile(r"/\*!\s*[\w.-]+(?: \w+)? v?\d+\.\d|@license\b[\s\S]*@versi
 _MADE_PATH = re.compile(r"(?:^|/)(?:gen|__generated__|generated|\.generated)/|(?:_pb|\.pb|\.generated|\.g|\.gen)\.[a-z]+$")
 _THEIR_PATH = re.compile(r"(?:^|/)(?:node_modules|bower_components|jspm_packages|third_party|third-party|vendor)/")
 _LOCK = re.compile(r"(?:^|/)(?:package-lock|npm-shrinkwrap|composer\.lock|deno\.lock|bun\.lock|pnpm-lock)(?:\.json|\.yaml)?$")
+#: strings, with the colon of keys, and brackets of JSON
+_JSON = re.compile(r'"(?:\\.|[^"\\\n])*"(?:\s*:)?|[{}\[\]]')
 
 _HEAD = re.compile(r"\s*(?:#![^\n]*\n\s*)?((?:(?://[^\n]*(?:\n|$)|/\*[\s\S]*?\*/|<!--[\s\S]*?-->|<script[^>]*>|/\* eslint[^\n]*)\s*)+)")
 _QUOTED = re.compile(r'"[^"\n]*"|“[^”\n]*”|‘[^’\n]*’')
@@ -62,11 +64,23 @@ def header_rules(path: str, text: str) -> bool:
     if _MADE_PATH.search(path) or _THEIR_PATH.search(path) or _LOCK.search(path):
         return True
     if path.endswith(".json"):
-        return '"lockfileVersion"' in text[:500]
+        return _locked(text)
     head = _HEAD.match(text)
     return bool(head) and bool(_MADE.search(_QUOTED.sub(" ", head[1])) or _NOTICE.search(head[1]))
 
 
+def _locked(text: str) -> bool:
+    """The version of a lock file is among the outermost keys, wherever it stands."""
+    if '"lockfileVersion"' not in text:
+        return False
+    depth = 0
+    for m in _JSON.finditer(text):
+        if depth <= 1 and m[0].startswith('"lockfileVersion"') and m[0][-1] == ":":
+            return True
+        depth += (m[0] in "{[") - (m[0] in "}]")
+    return False
+
+
 def layout_rules(path: str, text: str, *, min_minified: int = 200, max_space: float = 0.06, min_blob: int = 400, min_literal: float = 0.7) -> bool:
     """Minified code (next to no white space outside literals) or a data blob (literals and no code that runs)."""
     if path.rpartition(".")[2].lower() not in CODE or len(text) < min_minified:
@@ -91,11 +105,16 @@ def repeats_itself(path: str, text: str, *, min_lines: int = 12, few_shapes: flo
     if path.rpartition(".")[2].lower() not in CODE:
         return False
     lines = [line for line in text.split("\n") if len(line) > 3 and not line.isspace()]
-    if len(lines) < min_lines or len({line.lstrip()[:2] for line in lines[:60]}) > 16 or not _STATES.search(text):
+    if len(lines) < min_lines or not _STATES.search(text):
         return False
-    shapes = [shape for line in lines if len(shape := _NAMED.sub(_kind, line.strip())) > 3]
-    counts = Counter(shapes)
-    return len(shapes) >= min_lines and len(counts) <= few_shapes * len(shapes) and sum(n for _, n in counts.most_common(4)) >= most * len(shapes)
+    counts: Counter[str] = Counter()
+    for line in lines:
+        if len(shape := _NAMED.sub(_kind, line.strip())) > 3:
+            counts[shape] += 1
+            if len(counts) > few_shapes * len(lines):  # shapes never get fewer: no later line can change the result
+                return False
+    shapes = counts.total()
+    return shapes >= min_lines and len(counts) <= few_shapes * shapes and sum(n for _, n in counts.most_common(4)) >= most * shapes
 
 
 def _kind(m: re.Match) -> str:

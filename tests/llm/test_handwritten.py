@@ -52,6 +52,27 @@ def test_layout_rules():
     assert not repeats_itself("a.js", "".join(f".a{i} {{\n  margin: {i}px;\n}}\n" for i in range(20)))
 
 
+NAMES = "AMBER BASIL CEDAR DELTA EAGLE FJORD GROVE HARBOR ISLAND JASPER KNOLL LUMEN MAPLE NIMBUS ONYX PEBBLE QUIVER RIDGE".split()
+TABLES = "".join(f"export const Table{i} = Object.freeze({{\n" + "".join(f"  {name}_{k}: '{i * 31 + k:06x}',\n" for k, name in enumerate(NAMES)) + "});\n" for i in range(4))
+VARIED = "".join(STEPS[i % 6].format(n=i).replace("value", f"{name.lower()}{i}") + "\n" for i, name in enumerate(NAMES * 4))
+
+
+def test_all_lines_count_for_the_form():
+    calls = "".join(f"export const op_{i} = (args) => request('GET', '/v{i}', args);\n" for i in range(900))
+    assert repeats_itself("a.js", TABLES)  # entries that begin in many ways
+    assert repeats_itself("a.js", "".join(f"{name.lower()}({i}).{name} = [{i}, '{name}'];\n" for i, name in enumerate(NAMES * 4)) + calls)  # the form begins late
+    assert not repeats_itself("a.js", calls[:4000] + VARIED)  # and ends early
+    assert not repeats_itself("a.js", VARIED + TABLES)
+
+
+def test_lock_version_stands_anywhere():
+    packages = '"packages": {' + ", ".join(f'"p{i}": {{"version": "{i}.0.0"}}' for i in range(60)) + "}"
+    assert header_rules("deps.json", "{" + packages + ', "lockfileVersion": 3}')
+    assert header_rules("deps.json", '{\n "name": "cut off,\n ' + packages + ', "lockfileVersion": 3')
+    assert not header_rules("deps.json", "{" + packages + ', "schema": {"lockfileVersion": {"type": "integer"}}}')
+    assert not header_rules("deps.json", "{" + packages + ', "needs": "lockfileVersion"}')
+
+
 SCHEMA = "file_id bigint, repo string, file_path string, source_code string"
 
 
@@ -86,3 +107,8 @@ def test_equal_folders(spark):
     tree = {"theirs/a.json": '{"a": [' + "1, " * 60 + "2]}", "theirs/sub/b.json": '{"b": [' + "3, " * 60 + "4]}"}
     rows = [(i * 10 + j, f"r{i}", f"p{i}/{p}", t) for i in range(2) for j, (p, t) in enumerate(tree.items())]
     assert found(spark, [*rows, (99, "r1", "p1/own.js", HAND)]) == {0, 1, 10, 11}
+
+
+def test_forms_are_found_whole(spark):
+    rows = [(1, "a", "src/tables.js", TABLES), (2, "a", "src/steps.js", VARIED), (3, "a", "src/mixed.js", VARIED + TABLES)]
+    assert found(spark, rows) == {1}
